@@ -16,11 +16,20 @@ from aislefix.sources.tables import Tables, materialize
 
 
 class Positioning:
-    """The method over one set of input tables."""
+    """The method over one set of input tables.
 
-    def __init__(self, tables: Tables, settings: Settings = DEFAULTS) -> None:
+    With ``stored``, the tables handed from one stage to the next (candidate
+    pairs, columns to encode) are written once to the shared folder, as several
+    later steps read each of them; otherwise every step is one lazy plan.
+    """
+
+    def __init__(self, tables: Tables, settings: Settings = DEFAULTS, stored: bool = False) -> None:
         self.tables = tables
         self.settings = settings
+        self.stored = stored
+
+    def _hand_off(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name) if self.stored else df
 
     # Visits by window
 
@@ -89,11 +98,13 @@ class Positioning:
 
     @cached_property
     def train_pairs(self) -> DataFrame:
-        return candidates.candidate_union_train(self.label_rows, self.train_index, self.tables.prior)
+        found = candidates.candidate_union_train(self.label_rows, self.train_index, self.tables.prior)
+        return self._hand_off(found, "train-pairs")
 
     @cached_property
     def answer_pairs(self) -> DataFrame:
-        return candidates.candidate_union_query(self.tables.query_rows, self.answer_index, self.tables.prior)
+        found = candidates.candidate_union_query(self.tables.query_rows, self.answer_index, self.tables.prior)
+        return self._hand_off(found, "answer-pairs")
 
     # Pair features
 
@@ -145,7 +156,8 @@ class Positioning:
 
         answerable = self.answer_pairs.select("row_id").distinct()
         queries = narrow(self.enriched_query_rows).join(answerable, "row_id", "left_semi")
-        return narrow(self.enriched_label_rows), queries
+        train = narrow(self.enriched_label_rows)
+        return self._hand_off(train, "train-cells"), self._hand_off(queries, "answer-cells")
 
     @cached_property
     def codes(self) -> DataFrame:

@@ -325,12 +325,22 @@ STEPS["best_candidate"] = best_by_overlap
 DIGITS = {"distance": 3, "longitude1": 3, "latitude1": 3, "dist": 9}
 
 
-def _query(step: Callable[[Positioning], DataFrame]) -> Query:
+# Queries that read visits or pairs several times work on stored hand-offs.
+STORED = {
+    "ordinal_encode", "pair_features_train", "pair_features_query", "pair_geo_features", "pair_signal_features",
+    "answer_rule", "rank_gbt", "feature_importance", "answer_pipeline",
+}
+
+
+def _query(name: str, step: Callable[[Positioning], DataFrame]) -> Query:
+    stored = name in STORED
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return published(step(Positioning(load_tables(spark, sf_dir))), **DIGITS)
+        tables = load_tables(spark, sf_dir, stored)
+        return published(step(Positioning(tables, stored=stored)), **DIGITS)
 
     return run
 
 
 def queries() -> dict[str, Query]:
-    return {name: _query(step) for name, step in STEPS.items()}
+    return {name: _query(name, step) for name, step in STEPS.items()}

@@ -11,23 +11,29 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aislefix.functions.ids import with_prefix
 from aislefix.operators.spread import spread_join
-from aislefix.sources.tables import Tables
+from aislefix.sources.tables import Tables, materialize
 
 
-def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
+def load_tables(spark: SparkSession, sf_dir: str, stored: bool = False) -> Tables:
+    """The tables as lazy plans over the source, or over one stored copy of the derived rows.
+
+    Queries that read visits many times should ask for the stored copy.
+    """
+
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     shops = _shops(table("supplier"))
-    scans = _scans(table("lineitem"))
-    rows = _rows(table("orders"), scans, shops)
+    rows = _rows(table("orders"), _scans(table("lineitem")), shops)
+    if stored:
+        rows = materialize(rows, "rows")
     visits = rows.where((F.col("o_orderstatus") != "P") & F.col("shop_id").isNotNull()).select(
         "row_id", "user_id", "shop_id", "time_stamp", "longitude", "latitude", "wifi_infos"
     )
     query_rows = rows.where(F.col("o_orderstatus") == "P").select(
         "row_id", "user_id", "mall_id", "time_stamp", "longitude", "latitude", "wifi_infos"
     )
-    return Tables(shops, visits, query_rows, _prior(scans))
+    return Tables(shops, visits, query_rows, _prior(rows))
 
 
 def _shops(supplier: DataFrame) -> DataFrame:
@@ -43,33 +49,33 @@ def _shops(supplier: DataFrame) -> DataFrame:
 
 
 def _scans(lineitem: DataFrame) -> DataFrame:
-    """One scan per order: its text, and the shops of its three strongest hits."""
+    """One scan per order: its text, and the shops of its three strongest hits.
+
+    Collecting gains nothing from a partial step before the shuffle, so lines
+    are placed by order first, as they are, and made into texts there.
+    """
     signal = F.col("l_quantity").cast("int") - 100
-    line = F.struct(
-        "l_linenumber",
-        "l_partkey",
-        "l_suppkey",
-        "l_extendedprice",
-        signal.alias("signal"),
-        (F.col("l_linestatus") == "O").alias("connected"),
+    token = F.concat_ws(
+        "|",
+        F.concat(F.lit("b_"), F.col("l_suppkey") * 100 + F.col("l_partkey") % 100),
+        signal.cast("string"),
+        (F.col("l_linestatus") == "O").cast("string"),
     )
-    lines = lineitem.groupBy(F.col("l_orderkey").alias("row_id")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    token = F.transform(
-        "lines",
-        lambda hit: F.concat_ws(
-            "|",
-            F.concat(F.lit("b_"), hit.l_suppkey * 100 + hit.l_partkey % 100),
-            hit.signal.cast("string"),
-            hit.connected.cast("string"),
-        ),
+    place = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    raw = ["l_orderkey", *place, "l_quantity", "l_linestatus"]
+    lines = lineitem.select(raw).repartition("l_orderkey").select(
+        F.col("l_orderkey").alias("row_id"),
+        F.struct(*place, token.alias("token")).alias("in_order"),
+        F.struct((-signal).alias("weakness"), *place).alias("by_strength"),
     )
-    strongest = F.sort_array(
-        F.transform("lines", lambda hit, place: F.struct(-hit.signal, place, hit.l_suppkey.alias("suppkey")))
+    collected = lines.groupBy("row_id").agg(
+        F.sort_array(F.collect_list("in_order")).alias("in_order"),
+        F.sort_array(F.collect_list("by_strength")).alias("by_strength"),
     )
-    return lines.select(
+    return collected.select(
         "row_id",
-        F.array_join(token, ";").alias("wifi_infos"),
-        F.slice(strongest, 1, 3)["suppkey"].alias("top_suppkeys"),
+        F.array_join(F.col("in_order")["token"], ";").alias("wifi_infos"),
+        F.slice("by_strength", 1, 3)["l_suppkey"].alias("top_suppkeys"),
     )
 
 
@@ -77,6 +83,7 @@ def _rows(orders: DataFrame, scans: DataFrame, shops: DataFrame) -> DataFrame:
     key = F.col("row_id")
     rows = (
         orders.select(F.col("o_orderkey").alias("row_id"), "o_custkey", "o_orderstatus", "o_orderdate")
+        .repartition("row_id")
         .join(scans, "row_id", "left")
         .withColumn("shop_id", with_prefix("s", F.get("top_suppkeys", F.lit(0))))
     )
@@ -91,13 +98,14 @@ def _rows(orders: DataFrame, scans: DataFrame, shops: DataFrame) -> DataFrame:
         (F.coalesce("longitude", F.lit(110.0)) + (key % 21 - 10) * F.lit(0.0002)).alias("longitude"),
         (F.coalesce("latitude", F.lit(20.0)) + (key % 17 - 8) * F.lit(0.0002)).alias("latitude"),
         "wifi_infos",
+        "top_suppkeys",
     )
 
 
-def _prior(scans: DataFrame) -> DataFrame:
+def _prior(rows: DataFrame) -> DataFrame:
     """The shops of the second and third strongest hits, as if guessed by an earlier model."""
     top = F.col("top_suppkeys")
-    guess = scans.select("row_id", F.get(top, F.lit(0)).alias("truth"), F.posexplode(F.slice(top, 2, 2)))
+    guess = rows.select("row_id", F.get(top, F.lit(0)).alias("truth"), F.posexplode(F.slice(top, 2, 2)))
     return guess.select(
         "row_id",
         with_prefix("s", "col").alias("shop_id"),

@@ -1,0 +1 @@
+"""Empty: the method is a batch method, without streams, watermarks or state."""

@@ -30,9 +30,9 @@ def normal(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.sort_values(list(frame.columns), ignore_index=True)
 
 
-def difference(spark, con, name: str, sf_dir: str) -> str | None:
-    """What differs between the query and its SQL, or None."""
-    got = driver.queries()[name](spark, sf_dir).toPandas()
+def difference(df, con, name: str) -> str | None:
+    """What differs between the query's result and its SQL's, or None."""
+    got = df.toPandas()
     sql = driver.oracle_sql().get(name)
     if sql is None:
         return None if len(got) else "no rows"
@@ -62,7 +62,7 @@ if __name__ == "__main__":
     for name in names:
         start = time.time()
         try:
-            found = difference(spark, con, name, folder)
+            found = difference(driver.queries()[name](spark, folder), con, name)
         except Exception as error:  # noqa: BLE001
             found = f"{type(error).__name__}: {str(error)[:600]}"
         failed += found is not None
