@@ -16,7 +16,8 @@ def _each(template: str, joiner: str = ", ") -> str:
 
 
 def _r(expression: str, name: str, digits: int = 6) -> str:
-    return f"round({expression}, {digits}) + 0e0 AS {name}"
+    scale = f"{10**digits}e0"
+    return f"floor(({expression}) * {scale} + 0.5e0) / {scale} AS {name}"
 
 
 VIEWS: dict[str, str] = {
