@@ -173,26 +173,31 @@ class Positioning:
     def encoded_query_rows(self) -> DataFrame:
         return encode.ordinal_encode(self._cells[1], self.codes, encode.encoded_columns())
 
-    def _features(self, columns: DataFrame, encoded: DataFrame) -> DataFrame:
-        names = encode.encoded_columns()
-        codes = encoded.select("row_id", *(f"{name}_code" for name in names))
+    @staticmethod
+    def _coded(rows: DataFrame, encoded: DataFrame) -> DataFrame:
+        """Rows with their codes; joined here, as there are far fewer rows than pairs."""
+        return rows.join(encoded.select("row_id", *(f"{name}_code" for name in encode.encoded_columns())), "row_id")
+
+    @staticmethod
+    def _features(columns: DataFrame) -> DataFrame:
+        """The differences are taken from the ids themselves; only then do codes take their place."""
         keys = [name for name in ("row_id", "label") if name in columns.columns]
-        coded = {name: F.col(f"{name}_code").alias(name) for name in names}
-        return (
-            columns.join(codes, "row_id")
-            .withColumn("user_no", id_number("user_id"))
-            .select(*keys, *(coded.get(name, F.col(name)) for name in model.FEATURES))
+        coded = {name: F.col(f"{name}_code").alias(name) for name in encode.encoded_columns()}
+        return columns.withColumn("user_no", id_number("user_id")).select(
+            *keys, *(coded.get(name, F.col(name)) for name in model.FEATURES)
         )
 
     @cached_property
     def train_features(self) -> DataFrame:
         """(row_id, label, 77 features) of the labelled pairs."""
-        return self._features(self.train_pair_columns, self.encoded_label_rows)
+        rows = self._coded(self.enriched_label_rows.drop("shop_id"), self.encoded_label_rows)
+        return self._features(self._with_shops(self.train_match, rows, self.train_stats, self.settings.feature_days))
 
     @cached_property
     def answer_features(self) -> DataFrame:
         """(row_id, 77 features) of the pairs to be ranked."""
-        return self._features(self.answer_pair_columns, self.encoded_query_rows)
+        rows = self._coded(self.enriched_query_rows, self.encoded_query_rows)
+        return self._features(self._with_shops(self.answer_match, rows, self.answer_stats, self.settings.answer_days))
 
     # Answers
 
