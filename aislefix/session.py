@@ -1,7 +1,10 @@
-"""A session for local use; on a cluster the session comes from outside."""
+"""A session for local use; on a cluster the session comes from outside, and names its own shared folder."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -12,6 +15,7 @@ def build_session(app: str = "aislefix", cores: int | str = "*", **conf: str) ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "aislefix-shared"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8" if cores == "*" else str(cores))
         .config("spark.sql.adaptive.enabled", "true")

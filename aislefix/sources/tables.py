@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -12,6 +11,9 @@ from aislefix.functions.ids import with_prefix
 from aislefix.sources import schemas
 
 
+_made: list[str] = []
+
+
 @dataclass(frozen=True)
 class Tables:
     """The inputs of the method. ``visits`` carry a unique ``row_id``."""
@@ -64,18 +66,26 @@ def with_shop_id(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a stage table or model, where every executor can reach it.
+    """A new folder for a stage table or model, in the place the session names in ``spark.checkpoint.dir``.
 
-    The cluster names the place in ``spark.checkpoint.dir``; only a local
-    session, where driver and executors share one machine, may fall back to a
-    temporary folder.
+    Every executor must reach that place, so there is no fallback to a
+    machine-local folder. ``remove_run_folders`` takes away what a session made.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="aislefix-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def remove_run_folders(spark: SparkSession) -> int:
+    """Delete the folders handed out by ``shared_folder`` so far; frames that read them are then unusable."""
+    removed = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return removed
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ from check_oracle import connect, difference
 
 import __spark_entry__ as driver
 from aislefix.operators import candidates
+from aislefix.plans import registry
 from aislefix.plans.pipeline import Positioning
 from aislefix.sources.adapter import load_tables
 
@@ -18,7 +19,7 @@ def con(sf_dir):
 
 
 def test_only_trained_queries_lack_sql():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == TRAINED
+    assert set(registry.queries()) - set(driver.oracle_sql()) == TRAINED
 
 
 def plan_of(df) -> str:
@@ -32,7 +33,7 @@ def plan_of(df) -> str:
 SINGLE_TASK = {"candidate_recall", "row_ids"}
 
 
-@pytest.mark.parametrize("name", sorted(set(driver.queries()) - TRAINED))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - TRAINED))
 def test_query_equals_its_sql_by_a_distributed_plan(spark, con, sf_dir, name):
     df = driver.queries()[name](spark, sf_dir)
     plan = plan_of(df)
