@@ -1,0 +1,92 @@
+"""Repetition counts against a plain per-text computation."""
+
+import re
+
+import pytest
+from hypothesis import given, settings, strategies as st
+import numpy as np
+import pyarrow as pa
+
+from aislefix.llm import repetition
+from aislefix.llm.cells import text_slices
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain(text, rules=repetition.RepetitionRules()):
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+
+    def inside(n):
+        windows = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+        counts = {}
+        for w in windows:
+            counts[w] = counts.get(w, 0) + 1
+        return {i + j for i, w in enumerate(windows) if counts[w] > 1 for j in range(n)}
+
+    chars = sum(map(len, words))
+    repeat = len(inside(3))
+    failed = len(words) < rules.least_words or 100 * repeat > rules.most_repeat_word_percent * len(words)
+    over = any(chars and sum(len(words[i]) for i in inside(n)) / chars > x for n, x in rules.most_ngram_share.items())
+    twice = sum(len(w) for x in lines if lines.count(x) > 1 for w in WORD.findall(x))
+    over |= bool(chars) and twice / chars > rules.most_line_share
+    return {
+        "n_words": len(words), "word_chars": chars, "n_symbols": len(re.findall(r"[#*$%&|<>]", text)),
+        "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": repeat, "base_failed": failed,
+        "kept": not (failed or over),
+    }
+
+
+def measured(texts, most_bytes=1 << 20):
+    parts = [repetition.measure(p, repetition.RepetitionRules()) for p in text_slices(pa.array(texts, pa.string()), most_bytes)]
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+
+def check(texts, **options):
+    found = measured(texts, **options)
+    for i, text in enumerate(texts):
+        want = plain(text)
+        assert {k: found[k][i].item() for k in want} == want, text
+
+
+EDGES = [None, "", " ", "\n", "a", "a b", "a b c", "a b c a b c", "é\n\né\n", "\n\na\n", "a\n", "a\r\nb\n a\r\nb", "#*$%&|<>",
+         "x " * 60, "the same line again\n" * 30, " ".join(f"w{i}" for i in range(70)), " a b c", "a\x0bb\x0cc",
+         " ".join(f"w{i}" for i in range(40)) + "\n" + " ".join(f"w{i}" for i in range(40))]
+
+
+@pytest.mark.parametrize("most_bytes", [1, 40, 1 << 20])
+def test_edges(most_bytes):
+    check(EDGES, most_bytes=most_bytes)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab é\n#", max_size=60)), min_size=1, max_size=12))
+def test_any_text(texts):
+    check(texts)
+
+
+def test_many_kinds_of_words(monkeypatch):
+    monkeypatch.setattr(repetition, "_PACKED_CODES", 2)
+    check(EDGES)
+
+
+def test_frames(spark):
+    rows = [(None, None, "x", 1), (1, "a " * 200, "x", 2), (1, "a " * 200, "x", 2), (2, " ".join(f"w{i}" for i in range(70)), None, 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, kept string, n_words int")
+    found = {(r.doc_id, r.n_words, r.kept) for r in repetition.repetition_report(df).collect()}
+    assert found == {(None, 0, False), (1, 200, False), (2, 70, True)}
+    kept = repetition.keep_by_repetition(df)
+    assert kept.columns == df.columns and [r.doc_id for r in kept.collect()] == [2]
+    assert repetition.repetition_report(df.limit(0)).count() == 0
+
+
+def test_query_on_the_tables(spark, sf_dir):
+    import __spark_entry__
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = __spark_entry__.queries()["op5_repetition"](spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = plain(texts[r.doc_id])
+        assert {k: r[k] for k in want} == want
