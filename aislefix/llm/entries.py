@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislefix.llm import repetition
+from aislefix.llm import repetition, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,12 @@ def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_report(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_repetition,)}
+    return {f.__name__: f for f in (op5_repetition, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
