@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aislefix.llm import repetition, simhash
+from aislefix.llm import language, repetition, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language.fit_profiles(docs.where(~language.held_out(F.col("doc_id"))))
+    found = language.predict(docs, profiles)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_report(table(spark, sf_dir, "documents"))
 
@@ -24,7 +31,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_repetition, op9_simhash)}
+    return {f.__name__: f for f in (op2_language, op5_repetition, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
