@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aislefix.llm import language, repetition, simhash
+from aislefix.llm import language, packing, repetition, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,16 +23,25 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_files.read_token_files(spark, token_files.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_report(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_language, op5_repetition, op9_simhash)}
+    return {f.__name__: f for f in (op2_language, op4_token_files, op5_repetition, op6_packing, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,52 @@
+"""Token files read back against plain encoding in ascending order."""
+
+import zlib
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from aislefix.llm import ordered, token_files
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+def plain(rows):
+    coder, start, found = Tokenizer.from_file(PATH), 0, []
+    for key, text in rows:
+        ids = [*coder.encode(text or "", add_special_tokens=False).ids, 1]
+        found.append((key, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids))
+        start += len(ids)
+    return found
+
+
+def test_frames(spark):
+    rows = [(7, "Seven words, or so.", 1), (None, "no key", 2), (3, None, 3), (-2, "", 4), (9, "long text " * 20_000, 5), (3, "again", 6), (5, "x", 7), (5, "x", 8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, start int").repartition(4)
+    manifest = token_files.write_token_files(df, PATH)
+    got = [tuple(r) for r in token_files.read_token_files(spark, manifest, with_ids=True).collect()]
+    got.sort(key=lambda r: r[1])
+    assert [r[0] for r in got] == [None, -2, 3, 3, 5, 5, 7, 9]
+    three = {"": [2, 3], "again": [3, 2]}["" if got[2][2] == 1 else "again"]
+    texts = ["no key", "", *([None, "again"] if three[0] == 2 else ["again", None]), "x", "x", "Seven words, or so.", "long text " * 20_000]
+    assert got == plain([(r[0], t) for r, t in zip(got, texts, strict=True)])
+    assert all(f.dtype == "<u2" for f in manifest)
+    empty = token_files.write_token_files(df.limit(0), PATH)
+    assert empty == [] and token_files.read_token_files(spark, empty).count() == 0
+
+
+def test_ranges(spark):
+    df = spark.range(-500, 500)
+    for count in (1, 2, 7, 60):
+        bounds = ordered.key_bounds(df, "id", count)
+        got = df.select("id", ordered.range_of(df.id, bounds).alias("r")).collect()
+        assert [r.r for r in got] == [sum(b < r.id for b in bounds) for r in got]
+        assert len(bounds) <= count - 1 and (count == 1 or len(bounds) >= count // 2)
+
+
+def test_query_on_the_tables(spark, sf_dir):
+    import __spark_entry__
+
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    got = sorted(tuple(r) for r in __spark_entry__.queries()["op4_token_files"](spark, sf_dir).collect())
+    assert got == [r[:4] for r in plain(rows)]
