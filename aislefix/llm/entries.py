@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aislefix.llm import language, order_minhash, packing, repetition, simhash, token_files
+from aislefix.llm import language, mixing, order_minhash, packing, repetition, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,12 +40,16 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_language, op4_token_files, op5_repetition, op6_packing, op7_order_minhash, op9_simhash)}
+    return {f.__name__: f for f in (op2_language, op4_token_files, op5_repetition, op6_packing, op7_order_minhash, op8_mixing, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
