@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aislefix.llm import language, mixing, order_minhash, packing, repetition, simhash, token_files
+from aislefix.llm import chat, language, mixing, order_minhash, packing, repetition, simhash, token_files
+from aislefix.sources.tables import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,9 +49,39 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+# The extra conversation of op10; a fixed value of the task.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], rows.schema)
+    formatted = materialize(chat.format_conversations(rows.unionByName(tricky)), "chat")
+    return chat.read_back(formatted)
+
+
+OP10_SQL = """
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, t.turn, t.role, chr(92) || '### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) t (turn, role)
+    ), formed AS (
+        SELECT *, length('### : </turn>' || chr(10)) + length(role)
+                  + length(replace(replace(replace(text, chr(92), chr(92) || 'b'), '#', chr(92) || 'h'), '<', chr(92) || 'l')) AS n
+        FROM turns
+    )
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(n) AS BIGINT) AS formatted_chars
+    FROM formed GROUP BY conv_id"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_language, op4_token_files, op5_repetition, op6_packing, op7_order_minhash, op8_mixing, op9_simhash)}
+    return {f.__name__: f for f in (
+        op2_language, op4_token_files, op5_repetition, op6_packing, op7_order_minhash, op8_mixing, op9_simhash, op10_chat,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_chat": OP10_SQL}

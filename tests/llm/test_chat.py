@@ -1,0 +1,91 @@
+"""Round trips of the chat template, the visitor, and the digests."""
+
+import hashlib
+from collections import defaultdict
+
+import pytest
+from check_oracle import difference
+from hypothesis import given, settings, strategies as st
+
+from aislefix.llm import chat
+from aislefix.llm.entries import TRICKY
+
+tricky = st.text(alphabet="\\\\#<>|/:! \nabhlcturnUser", max_size=40) | st.sampled_from([TRICKY, "### User: ", "</turn>\n", "\\", "\\b", "<|image:0|>"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(tricky | st.sampled_from(["user", "assistant", "system", "", "Ä", "USER"]), tricky), max_size=5))
+def test_round_trip(turns):
+    visitor = chat.PartVisitor()
+    done = [chat.format_turn(r, [{"type": "text", "text": t}], visitor) for r, t in turns]
+    assert list(chat.parse_turns("".join(d.text for d in done))) == turns
+    for (role, text), d in zip(turns, done, strict=True):
+        assert (d.loss is not None) == (role == "assistant")
+        if d.loss:
+            assert chat.unescape(d.text[slice(*d.loss)]) == text
+
+
+def test_parts():
+    parts = [{"type": "text", "text": "see <|image:0|> "}, {"type": "image", "ref": "a.png", "width": 30, "height": 14}, {"type": "text", "text": None},
+             {"type": "audio", "ref": "b.wav", "seconds": 1.01}, {"type": "document", "ref": None, "pages": 2}, {"type": "text", "text": " end"}]
+    flat = chat.PartVisitor().flatten(parts, first_number=3)
+    assert flat.text == "see \\l|image:0|> <|image:3|><|audio:4|><|document:5|> end"
+    assert [(a.number, a.kind, a.ref, a.tokens) for a in flat.attachments] == [(3, "image", "a.png", 3), (4, "audio", "b.wav", 26), (5, "document", "", 1024)]
+    assert all(flat.text[a.place :].startswith(f"<|{a.kind}:{a.number}|>") for a in flat.attachments)
+    assert flat.expanded_tokens == 3 + 26 + 1024
+    turn = chat.format_turn("assistant", parts, chat.PartVisitor())
+    assert next(chat.parse_turns(turn.text))[1] == "see <|image:0|> <|image:0|><|audio:1|><|document:2|> end"
+    assert chat.PartVisitor().flatten(None).text == ""
+    with pytest.raises(ValueError, match="video"):
+        chat.PartVisitor().flatten([{"type": "video"}])
+
+
+@pytest.mark.parametrize("text", ["### User: a", "a</turn>\n", "### User: a</turn>\nb", "### User: a # b</turn>\n"])
+def test_what_is_not_formatted_is_refused(text):
+    with pytest.raises(ValueError, match="no turn"):
+        list(chat.parse_turns(text))
+
+
+def digests(rows):
+    by = defaultdict(list)
+    for c, t, r, x in sorted(rows, key=lambda q: (q[1] is not None, q[1] or 0, q[2] or "", q[3] or "")):
+        by[c].append((r or "", x or ""))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for c, turns in by.items():
+        loss = "".join(x for r, x in turns if r == "assistant")
+        yield c, len(turns), sha("".join(f"{r}\n{x}\n" for r, x in turns)), len(loss), sha(loss)
+
+
+def test_frames(spark):
+    rows = [(1, 1, "assistant", "é𝒳 <b>"), (1, 0, "user", "hi #1"), (2, None, None, None), (2, 5, "a:b", "x: y"), (2, 5, "a:b", "x: y"), (None, 0, "assistant", ""), (-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)]
+    rows += [(9, t, ["user", "assistant"][t % 2], f"turn {t} " * 50) for t in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").selectExpr("*", "'x' AS start", "1 AS formatted").repartition(5)
+    formatted = chat.format_conversations(df)
+    got = sorted((tuple(r)[:5] for r in chat.read_back(formatted).collect()), key=str)
+    assert got == sorted(digests(rows), key=str)
+    whole = defaultdict(str)
+    for r in sorted(formatted.collect(), key=lambda r: r.start):
+        assert len(whole[r.conv_id]) == r.start
+        whole[r.conv_id] += r.formatted
+    assert {r.conv_id: r.formatted_chars for r in chat.read_back(formatted).collect()} == {c: len(t) for c, t in whole.items()}
+    assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_typed_parts_in_frames(spark):
+    kind = "conv_id bigint, turn bigint, role string, text string, parts array<struct<type:string,text:string,ref:string,width:int,height:int>>"
+    image = ("image", None, "p.png", 28, 28)
+    rows = [(1, 0, "user", None, [("text", "look: ", None, None, None), image]), (1, 1, "assistant", None, [image]), (1, 2, "user", None, None)]
+    got = chat.format_conversations(spark.createDataFrame(rows, kind), parts="parts").orderBy("turn").collect()
+    assert [r.formatted for r in got] == ["### User: look: <|image:0|></turn>\n", "### Assistant: <|image:1|></turn>\n", "### User: </turn>\n"]
+    assert [(r.expanded_tokens, [(a.number, a.ref) for a in r.attachments]) for r in got] == [(4, [(0, "p.png")]), (4, [(1, "p.png")]), (0, [])]
+
+
+def test_query_equals_its_sql(spark, sf_dir):
+    import duckdb
+
+    import __spark_entry__
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
+    df = __spark_entry__.queries()["op10_chat"](spark, sf_dir)
+    assert difference(df, con, "op10_chat") is None
