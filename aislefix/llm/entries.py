@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aislefix.llm import chat, language, mixing, order_minhash, packing, repetition, simhash, token_files
+from aislefix.llm import chat, html_text, language, mixing, order_minhash, packing, repetition, simhash, token_files
 from aislefix.sources.tables import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = language.fit_profiles(docs.where(~language.held_out(F.col("doc_id"))))
@@ -79,7 +83,7 @@ OP10_SQL = """
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op2_language, op4_token_files, op5_repetition, op6_packing, op7_order_minhash, op8_mixing, op9_simhash, op10_chat,
+        op1_html_text, op2_language, op4_token_files, op5_repetition, op6_packing, op7_order_minhash, op8_mixing, op9_simhash, op10_chat,
     )}
 
 

@@ -19,6 +19,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,9 +89,10 @@ class Block:
     label: int = UNCLEAR
 
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z", re.DOTALL
-)
+_OPENING = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/><]*+)|<[!?/]")
+# Up to the end of a tag, over quoted values; it never goes back, so a page is read once.
+_INSIDE = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+_NOT_P = BLOCK_TAGS - {"p"}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _NAME_PART = re.compile(r"[a-z0-9]+")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -163,7 +165,7 @@ class _Page:
         if tag in BLOCK_TAGS:
             self.end_block()
             # A paragraph ends where another block begins.
-            at = self._last({"p"}, BLOCK_TAGS - {"p"})
+            at = self._last({"p"}, _NOT_P)
             if at is not None:
                 self._pop_to(at)
         if tag in VOID_TAGS:
@@ -198,29 +200,39 @@ class _Page:
 def blocks_of(page: str | None) -> list[Block]:
     """The blocks of a page in order, undecided."""
     found, at, page = _Page(), 0, page or ""
-    while True:
-        mark = _MARKUP.search(page, at)
-        if mark is None:
-            found.text(page[at:])
-            break
+    while (mark := _OPENING.search(page, at)) is not None:
         if mark.start() > at:
             found.text(page[at : mark.start()])
-        at = mark.end()
+        if mark[0] == "<!--":
+            at = page.find("-->", mark.end())
+            at = len(page) if at < 0 else at + 3
+            continue
+        inside = _INSIDE.match(page, mark.end()).end()
+        at = page.find(">", inside) + 1
+        if not at:  # the page breaks off inside a tag
+            break
         tag = (mark[2] or "").lower()
         if not tag:
             continue
         if mark[1]:
             found.end(tag)
         elif tag in RAW_TAGS:
-            if not mark[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+            if page[at - 2] != "/":
+                close = _closing(tag).search(page, at)
                 at = close.end() if close else len(page)
         else:
-            found.start(tag, mark[3])
+            found.start(tag, page[mark.end() : inside])
+    else:
+        found.text(page[at:])
     found.end_block()
     return found.blocks
 
 
+@cache
+def _closing(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.IGNORECASE)
+
+
 def _decide(block: Block, rules: BlockRules) -> int:
     """First pass."""
     if block.never:
