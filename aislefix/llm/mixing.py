@@ -102,23 +102,40 @@ def _hashed(*columns: Column, below: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), below)
 
 
-def permuted(index: Column, count: Column, key: Column, seed: int) -> Column:
-    """A permutation of 0 to ``count`` - 1, by ``key``."""
+def permuted(df: DataFrame, index: Column, count: Column, key: Column, seed: int, name: str) -> DataFrame:
+    """``df`` with a column ``name``: where a permutation of 0 to ``count`` - 1, one for each ``key``, takes ``index``.
+
+    The rounds are columns that build on each other, so that none is computed twice; the few rows that
+    land outside the range walk on in a loop.
+    """
     wide = F.greatest(F.lit(1), F.ceil(F.sqrt(count.cast("double")))).cast("bigint")
-    high = F.floor((count + wide - 1) / wide).cast("bigint")
+    high = F.floor((count + F.col("_wide") - 1) / F.col("_wide")).cast("bigint")
+    grid = df.withColumn("_wide", wide).withColumn("_high", high).withColumn("_key", F.xxhash64(key))
+    wide, high, key = F.col("_wide"), F.col("_high"), F.col("_key")
+
+    def mixed(x: Column, turn: int, below: Column) -> Column:
+        return _hashed(x, key, F.lit(seed + turn), below=below)
 
     def network(x: Column) -> Column:
         a, b = F.floor(x / high).cast("bigint"), F.pmod(x, high)
         for turn in (0, 2):
-            a = F.pmod(a + _hashed(b, key, F.lit(seed + turn), below=wide), wide)
-            b = F.pmod(b + _hashed(a, key, F.lit(seed + turn + 1), below=high), high)
+            a = F.pmod(a + mixed(b, turn, wide), wide)
+            b = F.pmod(b + mixed(a, turn + 1, high), high)
         return a * high + b
 
+    x, a, b = index.cast("bigint"), F.col("_a"), F.col("_b")
+    grid = grid.withColumns({"_a": F.floor(x / high).cast("bigint"), "_b": F.pmod(x, high)})
+    for turn in (0, 2):
+        grid = grid.withColumn("_a", F.pmod(a + mixed(b, turn, wide), wide))
+        grid = grid.withColumn("_b", F.pmod(b + mixed(a, turn + 1, high), high))
+    grid = grid.withColumn("_first", a * high + b)
     walked = F.aggregate(
-        F.sequence(F.lit(1), F.lit(_WALK)), network(index.cast("bigint")),
-        lambda x, _: F.when(x < count, x).otherwise(network(x)),
-    )
-    return F.when(walked < count, walked).otherwise(F.raise_error(F.lit("permutation left its range")).cast("bigint"))
+        F.sequence(F.lit(1), F.lit(_WALK)), F.col("_first"), lambda x, _: F.when(x < count, x).otherwise(network(x))
+    )
+    grid = grid.withColumn("_walked", F.when(F.col("_first") < count, F.col("_first")).otherwise(walked))
+    inside = F.when(F.col("_walked") < count, F.col("_walked"))
+    found = grid.withColumn(name, inside.otherwise(F.raise_error(F.lit("permutation left its range")).cast("bigint")))
+    return found.drop("_wide", "_high", "_key", "_a", "_b", "_first", "_walked")
 
 
 def chosen_blocks(sources: DataFrame, settings: MixSettings) -> DataFrame:
@@ -126,7 +143,9 @@ def chosen_blocks(sources: DataFrame, settings: MixSettings) -> DataFrame:
     # Shards in groups of about sqrt(shards), so that no task numbers them all.
     size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("shards").cast("double")))).cast("bigint")
     groups = F.sequence(F.lit(0), F.floor((F.col("shards") - 1) / size).cast("bigint"))
-    dealt = sources.where("blocks > 0").select("*", size.alias("size"), F.explode(groups).alias("g")).repartition("sk", "g")
+    grouped = sources.where("blocks > 0").select("*", size.alias("size"), F.explode(groups).alias("g"))
+    # A stated number of tasks: a handful of rows here makes very many slots, so they must not be coalesced.
+    dealt = grouped.repartition(_tasks(sources), "sk", "g")
     first = F.col("g") * F.col("size")
     last = F.least(first + F.col("size"), F.col("shards")) - 1
     shards = dealt.select("*", F.explode(F.sequence(first, last)).alias("shard"))
@@ -148,10 +167,12 @@ def chosen_blocks(sources: DataFrame, settings: MixSettings) -> DataFrame:
     # No block is taken more than most_repeats times; a draw beyond that is left empty.
     past = F.least(from_slot + F.col("count"), settings.most_repeats * F.col("blocks"))
     slots = numbered.where(past > from_slot).select("sk", "blocks", F.explode(F.sequence(from_slot, past - 1)).alias("q"))
-    return slots.select(
-        "sk", permuted(F.pmod("q", "blocks"), F.col("blocks"), F.col("sk"), settings.seed).alias("block"),
-        F.floor(F.col("q") / F.col("blocks")).cast("int").alias("turn"),
-    )
+    placed = permuted(slots, F.pmod("q", "blocks"), F.col("blocks"), F.col("sk"), settings.seed, "block")
+    return placed.select("sk", "block", F.floor(F.col("q") / F.col("blocks")).cast("int").alias("turn"))
+
+
+def _tasks(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def placed_documents(sized: DataFrame, sources: DataFrame) -> DataFrame:

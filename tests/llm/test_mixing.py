@@ -30,12 +30,15 @@ def targets(sizes, share=1.5, most=2):
 
 @pytest.mark.parametrize("count", [1, 2, 3, 4, 7, 10, 63, 64, 65, 1000])
 def test_permutation(spark, count):
-    found = spark.range(count).select(mixing.permuted(F.col("id"), F.lit(count), F.lit("key"), 3).alias("x")).collect()
+    found = mixing.permuted(spark.range(count), F.col("id"), F.lit(count), F.lit("key"), 3, "x").collect()
     assert sorted(r.x for r in found) == list(range(count))
 
 
 def test_permutation_is_not_the_order(spark):
-    rows = spark.range(1000).select("id", *(mixing.permuted(F.col("id"), F.lit(1000), F.lit(k), 3).alias(k) for k in "ab")).collect()
+    df = spark.range(1000)
+    for k in "ab":
+        df = mixing.permuted(df, F.col("id"), F.lit(1000), F.lit(k), 3, k)
+    rows = df.collect()
     assert sum(r.id == r.a for r in rows) < 20 and sum(r.a == r.b for r in rows) < 20
     assert sum(abs(rows[i].a - rows[i + 1].a) < 20 for i in range(999)) < 120
 
