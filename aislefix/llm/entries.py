@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aislefix.llm import chat, html_text, language, mixing, order_minhash, packing, repetition, simhash, token_files
+from aislefix.llm import chat, html_text, language, mixing, order_minhash, packing, repetition, simhash, token_files, warc
 from aislefix.sources.tables import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,26 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads are read and held against their digests; revisits carry those of their response."""
+    folder = warc.write_warc(table(spark, sf_dir, "pages"))
+    found = warc.read_warc(spark, folder, payload=False, verify=True)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# Base 32 of the 160 bits: every five hexadecimal digits give four characters.
+OP3_SQL = """
+    WITH payloads AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+    hashed AS (SELECT *, sha1(p) AS h, min(page_id) OVER (PARTITION BY sha1(p)) AS first_id FROM payloads)
+    SELECT page_id, CAST(strlen(p) AS BIGINT) AS payload_bytes,
+           list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               CAST((CAST('0x' || substr(h, (i // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)
+               FOR i IN range(0, 32)], 'string_agg', '') AS payload_digest,
+           CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM hashed"""
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_files.read_token_files(spark, token_files.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json")))
@@ -83,9 +103,9 @@ OP10_SQL = """
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_html_text, op2_language, op4_token_files, op5_repetition, op6_packing, op7_order_minhash, op8_mixing, op9_simhash, op10_chat,
+        op1_html_text, op2_language, op3_warc, op4_token_files, op5_repetition, op6_packing, op7_order_minhash, op8_mixing, op9_simhash, op10_chat,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op10_chat": OP10_SQL}

@@ -22,7 +22,7 @@ def place(uri: str) -> tuple[fs.FileSystem, str]:
 def open_new(uri: str) -> BinaryIO:
     system, path = place(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def open_read(uri: str) -> pa.NativeFile:
