@@ -9,8 +9,8 @@ Letters are lower-cased, and a run of anything else is one space, so words keep
 their edges; one space stands before and after a text. N-grams across a space
 are left out unless the space is at an end of the n-gram.
 
-Profiles are fitted on a bounded sample: for each language the
-``docs_per_language`` labelled documents whose ids have the smallest hashes.
+Profiles are fitted on a bounded sample: for each language about
+``docs_per_language`` labelled documents, those whose ids have the smallest hashes.
 Prediction ranks every whole text. Its only input is the text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
@@ -106,13 +106,11 @@ def fit_profiles(
     settings = settings or ProfileSettings()
     ids = F.xxhash64(df[key].cast("string"))
     labelled = df.select(ids.alias("h"), df[text].alias("t"), df[lang].alias("l")).where("l IS NOT NULL AND t IS NOT NULL")
-    by_hash = Window.partitionBy("l").orderBy("h")
-    chosen = labelled.select("l", "h").withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= settings.docs_per_language)
-    # One row a language: the largest hash of its sample. The texts are then found by a filter, without a join.
-    last = [(r.l, r.h) for r in chosen.groupBy("l").agg(F.max("h").alias("h")).collect()]
+    # One row a language: its share of the range of hashes. The texts are found by a filter, without a join or a sort.
     within = F.lit(False)
-    for language, most in last:
-        within |= (F.col("l") == language) & (F.col("h") <= most)
+    for row in labelled.groupBy("l").agg(F.count("*").alias("n")).collect():
+        most = int(min(1.0, settings.docs_per_language / row.n) * 2**64) - 2**63 - 1
+        within |= (F.col("l") == row.l) & (F.col("h") <= F.lit(most).cast("bigint"))
     sample = labelled.where(within).select("l", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,8 +64,8 @@ def test_frames(spark):
 
 def test_sample_is_bounded(spark):
     df = spark.range(200).selectExpr("id AS doc_id", "concat('word ', id) AS text", "'en' AS lang")
-    few = language.fit_profiles(df, settings=language.ProfileSettings(docs_per_language=1))
-    assert 0 < len(few.grams) < 20
+    few, all_of_them = (language.fit_profiles(df, settings=language.ProfileSettings(docs_per_language=n)) for n in (20, 200))
+    assert 15 < len(few.grams) < 0.7 * len(all_of_them.grams)
 
 
 def test_held_out_accuracy(spark):
