@@ -16,8 +16,9 @@ def great_circle(lon_a: Column, lat_a: Column, lon_b: Column, lat_b: Column) ->
 
 
 def equator_arc(degrees_a: Column, degrees_b: Column) -> Column:
-    """Distance along the equator between two angles.
+    """Distance along the equator between two angles, the short way round.
 
     Used for both axes: the great-circle formula with the other axis at zero.
     """
-    return F.radians(F.abs(degrees_b - degrees_a)) * EARTH_RADIUS_M
+    zero = F.lit(0.0)
+    return great_circle(degrees_a, zero, degrees_b, zero)

@@ -20,17 +20,21 @@ def scan_size(scan: Column | str) -> Column:
 def ranked_hits(scan: Column | str) -> Column:
     """Scan text -> hits, strongest first; equal signals keep the scan's order.
 
-    The element's first two fields are the negated signal and the place in the
+    A hit that does not have three fields, or whose last is neither true nor
+    false, fails the job. The element's first two fields are the negated signal and the place in the
     scan, so the plain ascending array sort is already the stable order.
     """
 
     def hit(token: Column, place: Column) -> Column:
         signal = F.substring_index(F.substring_index(token, "|", 2), "|", -1).cast("int")
+        flag = F.substring_index(token, "|", -1)
+        whole = (F.length(token) - F.length(F.replace(token, F.lit("|"), F.lit(""))) == 2) & flag.isin("true", "false")
+        wrong = F.raise_error(F.concat(F.lit("not a hit: "), token)).cast("int")
         return F.struct(
             (-signal).alias("weakness"),
             (place + 1).alias("pos"),
             id_number(F.substring_index(token, "|", 1)).alias("wifi_bssid"),
-            (F.substring_index(token, "|", -1) == "true").cast("int").alias("wifi_flag"),
+            F.when(whole, (flag == "true").cast("int")).otherwise(wrong).alias("wifi_flag"),
         )
 
     return F.sort_array(F.transform(_tokens(scan), hit))

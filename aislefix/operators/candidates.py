@@ -107,7 +107,7 @@ def candidate_pairs_query(query_rows: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def candidate_union_query(query_rows: DataFrame, index: DataFrame, prior: DataFrame) -> DataFrame:
-    guesses = prior_top1(prior.drop("label")).join(query_rows.select("row_id"), "row_id", "left_semi")
+    guesses = prior_top1(prior).join(query_rows.select("row_id"), "row_id", "left_semi")
     return _one_per_pair(_probe(query_rows, index).unionByName(guesses))
 
 

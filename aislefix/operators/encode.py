@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from aislefix.operators.spread import spread_join
 from aislefix.settings import PAD, SLOTS
+from aislefix.sources.tables import materialize
 
 _BITS = 22
 
 
-def dense_codes(values: DataFrame, bits: int = _BITS) -> DataFrame:
-    """(name, value) -> (name, value, code): the value's rank among the name's distinct values, from 0.
+def distinct_values(values: DataFrame) -> DataFrame:
+    return values.select("name", "value").where(F.col("value").isNotNull()).distinct()
+
+
+def dense_codes(distinct: DataFrame, bits: int = _BITS) -> DataFrame:
+    """Distinct (name, value) -> (name, value, code): the value's rank among the name's values, from 0.
+
+    ``distinct`` is read three times: give it a stored table where it is costly.
 
     A bigint is cut into its low, middle and high bits. Ranks are taken inside
     a low range, range sizes are summed inside a middle range, and those inside
     the name, so no window ever holds more than 2**22 rows whatever the data.
     """
-    distinct = (
-        values.select("name", "value")
-        .where(F.col("value").isNotNull())
-        .distinct()
-        .withColumns({"low": F.shiftright("value", bits), "high": F.shiftright("value", 2 * bits)})
-    )
+    distinct = distinct.withColumns({"low": F.shiftright("value", bits), "high": F.shiftright("value", 2 * bits)})
     ranked = distinct.withColumn(
         "rank", F.row_number().over(Window.partitionBy("name", "low").orderBy("value")) - F.lit(1)
     )
@@ -47,7 +49,7 @@ def dense_codes(values: DataFrame, bits: int = _BITS) -> DataFrame:
 
 def row_numbers(rows: DataFrame, key: str) -> DataFrame:
     """Rows with a dense number from 0 in ascending order of the unique bigint ``key``."""
-    codes = dense_codes(rows.select(F.lit(key).alias("name"), F.col(key).alias("value")))
+    codes = dense_codes(distinct_values(rows.select(F.lit(key).alias("name"), F.col(key).alias("value"))))
     return rows.join(codes.select(F.col("value").alias(key), F.col("code").alias("row_number")), key)
 
 
@@ -57,18 +59,26 @@ def encoded_columns(slots: int = SLOTS) -> list[str]:
 
 def _long(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     cells = F.array(*(F.struct(F.lit(name).alias("name"), F.col(name).alias("value")) for name in columns))
-    return rows.select("row_id", F.explode(cells).alias("cell")).select("row_id", "cell.name", "cell.value")
+    found = rows.select("row_id", F.explode(cells).alias("cell")).select("row_id", "cell.name", "cell.value")
+    value = F.col("value")
+    refused = F.raise_error(F.concat(F.lit("negative id: "), value.cast("string"))).cast("bigint")
+    return found.withColumn("value", F.when((value < 0) & (value != PAD), refused).otherwise(value))
+
 
+def ordinal_codes(
+    rows: DataFrame, columns: Sequence[str], hand_off: Callable[[DataFrame, str], DataFrame] = lambda df, _: df
+) -> DataFrame:
+    """Codes of every column, fitted on the given rows (labelled and query rows together).
 
-def ordinal_codes(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Codes of every column, fitted on the given rows (labelled and query rows together)."""
-    return dense_codes(_long(rows, columns))
+    ``hand_off`` stores a frame and reads it back; the distinct values go through it once.
+    """
+    return dense_codes(hand_off(distinct_values(_long(rows, columns)), "values"))
 
 
 def ordinal_encode(rows: DataFrame, codes: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows with ``<column>_code`` for each column, through one join for all columns.
 
-    Ids are not negative, so where padding occurs it is the smallest value and
+    Negative ids are refused, so where padding occurs it is the smallest value and
     its code is 0: the most frequent value by far needs no join.
     """
     cells = _long(rows, columns).where(F.col("value") != PAD)
@@ -80,3 +90,26 @@ def ordinal_encode(rows: DataFrame, codes: DataFrame, columns: Sequence[str]) ->
         f"{name}_code": F.when(F.col(name) == PAD, F.lit(0)).otherwise(F.col(f"{name}_code")) for name in columns
     }
     return rows.join(by_row, "row_id", "left").withColumns(filled)
+
+
+def numbered(rows: DataFrame, name: str = "row_id") -> DataFrame:
+    """Rows without a key, numbered from 0 in the order of all their columns; equal rows keep their own numbers.
+
+    Rows are dealt out in ranges of all columns and numbered inside each range;
+    a range begins where the ones before it end. The place of a row depends on how they
+    were dealt out: store the result before it is read twice.
+    """
+    part = F.spark_partition_id()
+    dealt = rows.repartitionByRange(*rows.columns).withColumn("_part", part)
+    dealt = materialize(dealt, "numbered")
+    sizes = sorted((r["_part"], r["count"]) for r in dealt.groupBy("_part").count().collect())  # one row a range
+    starts, total = {}, 0
+    for number, size in sizes:
+        starts[number] = total
+        total += size
+    if not starts:
+        return rows.withColumn(name, F.lit(0).cast("bigint"))
+    start = F.create_map(*(F.lit(x).cast("bigint") for pair in starts.items() for x in pair))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*rows.columns)) - F.lit(1)
+    found = dealt.withColumn(name, F.element_at(start, F.col("_part").cast("bigint")) + inside)
+    return found.select(name, *rows.columns)

@@ -30,7 +30,8 @@ def explode_hits(rows: DataFrame, carry: Sequence[Column | str]) -> DataFrame:
 
 
 def visit_hits(visits: DataFrame) -> DataFrame:
-    """Hits of visits with the visited shop as a number."""
+    """Hits of visits with the visited shop as a number; visits without a shop tell nothing about shops."""
+    visits = visits.where(F.col("shop_id").isNotNull())
     carry = ["row_id", id_number("shop_id").alias("shop_no"), F.dayofmonth("time_stamp").alias("transaction_day")]
     return explode_hits(visits, carry)
 

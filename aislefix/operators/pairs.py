@@ -31,7 +31,7 @@ def pair_signal(pairs: DataFrame) -> DataFrame:
 
 def lookup_train(stats: DataFrame, window_days: int) -> DataFrame:
     """What a (shop, access point) tells about a labelled row: one window serves slots and overlap."""
-    return ap_profile(stats, window_days).withColumn("listed", F.lit(1))
+    return ap_profile(stats, window_days)
 
 
 def lookup_query(stats: DataFrame, feature_days: int, answer_days: int, slot_window: str = "feature") -> DataFrame:
@@ -47,7 +47,6 @@ def lookup_query(stats: DataFrame, feature_days: int, answer_days: int, slot_win
         "wifi_bssid",
         F.try_divide("feature_signal_sum", "feature_hits").alias("wifi_signal"),
         F.when(early, F.col("feature_hits") / F.lit(feature_days)).alias("sw_number"),
-        F.lit(1).alias("listed"),
     )
 
 
@@ -67,25 +66,30 @@ def _scan_probes(rows: DataFrame, slots: int) -> DataFrame:
 def pair_match(pairs: DataFrame, rows: DataFrame, lookup: DataFrame, slots: int = SLOTS) -> DataFrame:
     """Every pair with its slots' expected signals and rates, and the overlap of scan and shop.
 
-    One join on (shop, access point) serves all slots and the overlap. The
-    overlap is the share of the scan's distinct access points known at the
-    shop; it is 0 for an empty scan.
+    One inner join on (shop, access point) serves all slots and the overlap: what
+    a shop does not know goes no further. The pairs themselves, with what they
+    carry, meet their matches in one shuffle by row. The overlap is the
+    share of the scan's distinct access points known at the shop; it is 0 for an
+    empty scan.
     """
-    seen = pairs.join(_scan_probes(rows, slots), "row_id").select(
-        *pairs.columns, F.explode_outer("_probes").alias("_probe")
-    )
-    seen = seen.select(*pairs.columns, "_probe.wifi_bssid", "_probe.mask")
-    matched = spread_join(seen, lookup, ["shop_no", "wifi_bssid"], "left")
+    carried = [name for name in pairs.columns if name not in ("row_id", "shop_no")]
+    probes = _scan_probes(rows, slots)
+    seen = pairs.select("row_id", "shop_no").join(probes, "row_id").select("row_id", "shop_no", F.explode("_probes").alias("_probe"))
+    matched = spread_join(seen.select("row_id", "shop_no", "_probe.wifi_bssid", "_probe.mask"), lookup, ["shop_no", "wifi_bssid"])
+    met = pairs.unionByName(matched.select("row_id", "shop_no", "mask", "wifi_signal", "sw_number"), allowMissingColumns=True)
 
     expected: list[Column] = []
     for k in range(1, slots + 1):
         in_slot = F.col("mask").bitwiseAND(1 << (k - 1)) != 0
         expected.append(F.max(F.when(in_slot, F.col("wifi_signal"))).alias(f"sw_wifi{k}_signal"))
         expected.append(F.max(F.when(in_slot, F.col("sw_number"))).alias(f"sw_number{k}"))
-    overlap = F.coalesce(F.try_divide(F.count("listed"), F.count("wifi_bssid")), F.lit(0.0))
-    return (
-        matched.repartition("row_id").groupBy(*pairs.columns).agg(*expected, overlap.alias("wifi_in_swifi"))
+    folded = met.repartition("row_id").groupBy("row_id", "shop_no").agg(
+        *(F.max(name).alias(name) for name in carried), *expected, F.count("mask").alias("_known")
     )
+    sizes = probes.select("row_id", F.size("_probes").alias("_seen"))
+    overlap = F.coalesce(F.try_divide("_known", "_seen"), F.lit(0.0)).alias("wifi_in_swifi")
+    names = [name for name in folded.columns if name != "_known"]
+    return folded.join(sizes, "row_id").select(*names, overlap)
 
 
 def slot_differences(slots: int = SLOTS) -> dict[str, Column]:

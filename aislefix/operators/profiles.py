@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from aislefix.operators.spread import spread_join
 
-LIST_SEGMENT = 4096
-
 
 def ap_stats(hits: DataFrame, min_support: int = 1, cutoff_day: int | None = None) -> DataFrame:
     """Counts and signal sums per (shop, access point), over all hits and over strongest hits.
@@ -110,27 +108,16 @@ def shop_slot1_modal_ap(stats: DataFrame) -> DataFrame:
     )
 
 
-def shop_ap_list(stats: DataFrame, segment_size: int = LIST_SEGMENT) -> DataFrame:
-    """The distinct access points of each shop as sorted lists.
-
-    A shop has one list, ``segment`` 0, unless it saw more than
-    ``segment_size`` access points: then its ids are dealt out by remainder to
-    as many lists as keep them near that size, so no list grows without bound.
-    """
-    seen = stats.where("n_hits > 0").select("shop_no", "wifi_bssid")
-    sizes = seen.groupBy("shop_no").agg(F.ceil(F.count("*") / F.lit(segment_size)).alias("segments"))
-    return (
-        spread_join(seen, sizes, "shop_no")
-        .withColumn("segment", F.pmod("wifi_bssid", "segments"))
-        .groupBy("shop_no", "segments", "segment")
-        .agg(F.sort_array(F.collect_list("wifi_bssid")).alias("swifi_infos"))
-    )
+def shop_ap_list(stats: DataFrame) -> DataFrame:
+    """The distinct access points of each shop, one row each."""
+    return stats.where("n_hits > 0").select("shop_no", "wifi_bssid")
 
 
-def shop_signals(stats: DataFrame, window_days: int) -> DataFrame:
-    """The seven scalar columns of the shop profile in one aggregate over ``stats``.
+def shop_profile(stats: DataFrame, window_days: int) -> DataFrame:
+    """The seven columns of the shop profile in one aggregate over ``stats``.
 
-    Shops without a supported hit have no profile.
+    Shops without a supported hit have no profile. A shop's access points are in
+    ``shop_ap_list``; no feature needs them in one cell.
     """
     grouped = stats.groupBy("shop_no").agg(
         _mode("n_hits", "signal_sum").alias("m"),
@@ -149,14 +136,3 @@ def shop_signals(stats: DataFrame, window_days: int) -> DataFrame:
         (-F.col("m1.negated")).alias("swifi1_bssid_maxsignal"),
         F.col("m1.mean").alias("swifi1_signal_maxsignal"),
     )
-
-
-def shop_profile(stats: DataFrame, window_days: int, segment_size: int = LIST_SEGMENT) -> DataFrame:
-    """``shop_signals`` with the shop's access point list.
-
-    The list is null for shops with more than ``segment_size`` access points,
-    whose whole lists are in ``shop_ap_list``; no feature depends on it, since
-    the overlap of scan and shop is computed by a join.
-    """
-    lists = shop_ap_list(stats, segment_size).where("segments = 1").select("shop_no", "swifi_infos")
-    return shop_signals(stats, window_days).join(lists, "shop_no", "left")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from aislefix.operators.model import FEATURES
+
 SLOTS = range(1, 11)
 
 
@@ -112,13 +114,9 @@ for _window, _hits, _days in (("train", "feature_hits", 24), ("all", "visit_hits
     VIEWS[f"shop_{_window}"] = f"""
         SELECT g.shop_no, m.wifi_bssid AS swifi_bssid_maxsignal, m.wifi_signal AS swifi_signal_maxsignal,
                g.shop_wifi_signal, f.swifi1_signal_all, f.shop_wifi_num,
-               m1.wifi_bssid AS swifi1_bssid_maxsignal, m1.wifi_signal AS swifi1_signal_maxsignal, g.swifi_infos
-        FROM (SELECT h.shop_no, CAST(sum(h.wifi_signal) AS DOUBLE) / count(*) AS shop_wifi_signal,
-                     any_value(l.swifi_infos) AS swifi_infos
-              FROM {_hits} h
-              JOIN (SELECT shop_no, string_agg(CAST(wifi_bssid AS VARCHAR), '|' ORDER BY wifi_bssid) AS swifi_infos
-                    FROM ap_{_window} GROUP BY shop_no) l ON l.shop_no = h.shop_no
-              GROUP BY h.shop_no) g
+               m1.wifi_bssid AS swifi1_bssid_maxsignal, m1.wifi_signal AS swifi1_signal_maxsignal
+        FROM (SELECT shop_no, CAST(sum(wifi_signal) AS DOUBLE) / count(*) AS shop_wifi_signal
+              FROM {_hits} GROUP BY shop_no) g
         JOIN modal_{_window} m ON m.shop_no = g.shop_no
         LEFT JOIN (SELECT shop_no, CAST(sum(total) AS DOUBLE) / sum(n) AS swifi1_signal_all,
                           count(*) / {_days}e0 AS shop_wifi_num
@@ -145,7 +143,9 @@ VIEWS |= {
         SELECT DISTINCT l.row_id, i.shop_no, CAST(i.shop_no = l.shop_no AS BIGINT) AS label
         FROM label_rows l JOIN slots s ON s.row_id = l.row_id JOIN index_train i ON i.wifi_bssid = s.wifi_bssid""",
     "true_pairs": "SELECT row_id, shop_no, CAST(1 AS BIGINT) AS label FROM label_rows",
-    "prior_train": "SELECT row_id, shop_no, label FROM prior WHERE shop_index = 0 "
+    "prior_known": "SELECT * FROM prior WHERE row_id IN (SELECT row_id FROM all_rows WHERE NOT pending)",
+    "prior_asked": "SELECT * FROM prior WHERE row_id IN (SELECT row_id FROM all_rows WHERE pending)",
+    "prior_train": "SELECT row_id, shop_no, label FROM prior_known WHERE shop_index = 0 "
     "AND row_id IN (SELECT row_id FROM label_rows)",
     "pairs_train": """
         SELECT row_id, shop_no, max(label) AS label FROM (
@@ -156,7 +156,7 @@ VIEWS |= {
         FROM query_rows q JOIN slots s ON s.row_id = q.row_id JOIN index_query i ON i.wifi_bssid = s.wifi_bssid""",
     "pairs_query": """
         SELECT * FROM index_pairs_query
-        UNION SELECT row_id, shop_no FROM prior WHERE shop_index = 0 AND row_id IN (SELECT row_id FROM query_rows)""",
+        UNION SELECT row_id, shop_no FROM prior_asked WHERE shop_index = 0""",
 }
 
 for _side, _window in (("train", "train"), ("query", "all")):
@@ -264,8 +264,13 @@ QUERIES: dict[str, str] = {
     "visits_scan": f"SELECT row_id, user_id, shop_id, {_TIME}, {_PLACE}, wifi_infos FROM visits",
     "shops_scan": f"SELECT shop_id, 'c_' || category_no AS category_id, {_PLACE}, {_r('price', 'price')}, mall_id FROM shops",
     "query_rows_scan": _QUERY_ROWS,
-    "prior_top1": "SELECT row_id, 's_' || shop_no AS shop_id, label FROM prior WHERE shop_index = 0",
+    "prior_top1": "SELECT row_id, 's_' || shop_no AS shop_id, label FROM prior_known WHERE shop_index = 0",
+    "prior_top1_answer": "SELECT row_id, 's_' || shop_no AS shop_id FROM prior_asked WHERE shop_index = 0",
     "csv_roundtrip": _QUERY_ROWS,
+    "csv_shops": f"SELECT shop_id, 'c_' || category_no AS category_id, {_PLACE}, {_r('price', 'price')}, mall_id FROM shops",
+    "csv_visits": f"SELECT user_id, shop_id, {_TIME}, {_PLACE}, wifi_infos FROM visits",
+    "csv_prior_train": "SELECT row_id, 's_' || shop_no AS shop_id, label, shop_index FROM prior_known",
+    "csv_prior_answer": "SELECT row_id, 's_' || shop_no AS shop_id, shop_index FROM prior_asked",
     "visit_calendar": f"SELECT row_id, {_CALENDAR} FROM records",
     "mall_distance": f"SELECT row_id, mall_id, {_DISTANCES} FROM distances",
     "shop_dim": f"""
@@ -309,13 +314,8 @@ QUERIES: dict[str, str] = {
     f"{_r('sw_number', 'sw_number')} FROM ap_train",
     "shop_mean_signal": f"SELECT 's_' || shop_no AS shop_id, {_r('avg(wifi_signal)', 'shop_wifi_signal')} "
     "FROM feature_hits GROUP BY shop_no",
-    "shop_ap_list": """
-        SELECT 's_' || a.shop_no AS shop_id, z.segments, a.wifi_bssid % z.segments AS segment,
-               string_agg(CAST(a.wifi_bssid AS VARCHAR), '|' ORDER BY a.wifi_bssid) AS swifi_infos
-        FROM ap_train a
-        JOIN (SELECT shop_no, CAST(ceil(count(*) / 4096e0) AS BIGINT) AS segments FROM ap_train GROUP BY shop_no) z
-          ON z.shop_no = a.shop_no
-        GROUP BY a.shop_no, z.segments, a.wifi_bssid % z.segments""",
+    "shop_ap_list": "SELECT 's_' || shop_no AS shop_id, wifi_bssid FROM ap_train",
+    "shop_ap_list_answer": "SELECT 's_' || shop_no AS shop_id, wifi_bssid FROM ap_all",
     "shop_modal_ap_ties": """
         SELECT 's_' || shop_no AS shop_id, wifi_bssid, n AS n_hits FROM (
             SELECT *, rank() OVER (PARTITION BY shop_no ORDER BY n DESC) AS place FROM ap_train) WHERE place = 1""",
@@ -327,7 +327,8 @@ QUERIES: dict[str, str] = {
     "FROM feature_hits WHERE k = 1 GROUP BY shop_no",
     "shop_slot1_modal_ap": "SELECT 's_' || shop_no AS shop_id, wifi_bssid AS swifi1_bssid_maxsignal, "
     f"{_r('wifi_signal', 'swifi1_signal_maxsignal')} FROM modal1_train",
-    "shop_profile": f"SELECT 's_' || shop_no AS shop_id, {_SHOP_COLUMNS}, swifi_infos FROM shop_train",
+    "shop_profile": f"SELECT 's_' || shop_no AS shop_id, {_SHOP_COLUMNS} FROM shop_train",
+    "shop_profile_answer": f"SELECT 's_' || shop_no AS shop_id, {_SHOP_COLUMNS} FROM shop_all",
     "profiles_train": _whole_profile("train"),
     "profiles_query": _whole_profile("all"),
     "ap_signal_pairs": "SELECT DISTINCT wifi_bssid, 's_' || shop_no AS shop_id, "
@@ -354,14 +355,23 @@ QUERIES: dict[str, str] = {
             SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY wifi_in_swifi DESC, shop_no) AS rn
             FROM overlap_query) WHERE rn = 1""",
     "answer_rule": """
-        SELECT row_id, 's_' || shop_no AS shop_id FROM (
+        SELECT r.row_id, 's_' || a.shop_no AS shop_id FROM query_rows r LEFT JOIN (
             SELECT o.row_id, o.shop_no, row_number() OVER (
                 PARTITION BY o.row_id
                 ORDER BY o.wifi_in_swifi DESC,
                          (q.longitude - s.longitude) * (q.longitude - s.longitude)
                          + (q.latitude - s.latitude) * (q.latitude - s.latitude) NULLS LAST, o.shop_no) AS rn
             FROM overlap_query o JOIN query_rows q ON q.row_id = o.row_id
-            LEFT JOIN shops s ON s.shop_no = o.shop_no) WHERE rn = 1""",
+            LEFT JOIN shops s ON s.shop_no = o.shop_no) a ON a.row_id = r.row_id AND a.rn = 1""",
+    # Trained scores cannot be said in SQL; what must hold of them can.
+    "rank_gbt": f"{_PAIR}, true AS is_probability, true AS same_when_loaded FROM pairs_query p",
+    "feature_importance": "SELECT feature, true AS not_negative, 1e0 AS total FROM (VALUES "
+    + ", ".join(f"('{name}')" for name in FEATURES)
+    + ") f (feature)",
+    "answer_pipeline": """
+        SELECT r.row_id, c.row_id IS NOT NULL AS has_candidate, c.row_id IS NOT NULL AS chose_candidate,
+               false AS another_scores_higher
+        FROM query_rows r LEFT JOIN (SELECT DISTINCT row_id FROM pairs_query) c ON c.row_id = r.row_id""",
     "enrich_visits": f"""
         SELECT v.row_id, v.user_id, v.shop_id, {_PLACE}, v.wifi_infos, v.mall_id, {_DISTANCES}, {_CALENDAR},
                r.wifi_infos_number, {_SLOT_LIST}
@@ -388,5 +398,5 @@ def oracle_sql() -> dict[str, str]:
         views: list[str] = []
         _needed(sql, views)
         chain = ", ".join(f"{view} AS ({VIEWS[view].strip()})" for view in views)
-        statements[name] = f"WITH {chain} {sql.strip()}"
+        statements[name] = f"WITH {chain} {sql.strip()}" if chain else sql.strip()
     return statements

@@ -1,4 +1,4 @@
-"""From raw tables to answers. Everything is lazy until the caller acts."""
+"""From raw tables to answers. Steps are lazy, but for the hand-offs that ``stored`` asks for and for training."""
 
 from __future__ import annotations
 
@@ -98,12 +98,12 @@ class Positioning:
 
     @cached_property
     def train_pairs(self) -> DataFrame:
-        found = candidates.candidate_union_train(self.label_rows, self.train_index, self.tables.prior)
+        found = candidates.candidate_union_train(self.label_rows, self.train_index, self.tables.prior_train)
         return self._hand_off(found, "train-pairs")
 
     @cached_property
     def answer_pairs(self) -> DataFrame:
-        found = candidates.candidate_union_query(self.tables.query_rows, self.answer_index, self.tables.prior)
+        found = candidates.candidate_union_query(self.tables.query_rows, self.answer_index, self.tables.prior_answer)
         return self._hand_off(found, "answer-pairs")
 
     # Pair features
@@ -111,7 +111,7 @@ class Positioning:
     def _shop_side(self, stats: DataFrame, days: int) -> DataFrame:
         shops = enrich.shop_dimension(self.tables.shops).drop("mall_id")
         numbered = shops.withColumn("shop_no", id_number("shop_id")).drop("shop_id")
-        return numbered.join(profiles.shop_signals(stats, days), "shop_no", "left")
+        return numbered.join(profiles.shop_profile(stats, days), "shop_no", "left")
 
     @cached_property
     def train_lookup(self) -> DataFrame:
@@ -130,20 +130,30 @@ class Positioning:
     def answer_match(self) -> DataFrame:
         return pairs.pair_match(self.answer_pairs, self.tables.query_rows, self.answer_lookup)
 
-    def _with_shops(self, matched: DataFrame, rows: DataFrame, stats: DataFrame, days: int) -> DataFrame:
-        """Pairs with the columns of their row, then of their shop, and the differences of both."""
-        joined = spread_join(matched.join(rows, "row_id"), self._shop_side(stats, days), "shop_no", "left")
+    def _with_shops(self, side: str, rows: DataFrame) -> DataFrame:
+        """Pairs with the columns of their shop, of their match and of their row, and the differences.
+
+        Shop columns join the bare pairs; what leaves the match is already placed by row, so the widest
+        table of the method is not shuffled again.
+        """
+        s = self.settings
+        train = side == "train"
+        found, scans, lookup = (
+            (self.train_pairs, self.label_rows, self.train_lookup) if train
+            else (self.answer_pairs, self.tables.query_rows, self.answer_lookup)
+        )
+        shops = self._shop_side(self.train_stats, s.feature_days) if train else self._shop_side(self.answer_stats, s.answer_days)
+        matched = pairs.pair_match(spread_join(found, shops, "shop_no", "left"), scans, lookup)
+        joined = matched.join(rows, "row_id")
         return pairs.pair_signal(pairs.pair_geo(joined)).withColumns(pairs.slot_differences())
 
     @cached_property
     def train_pair_columns(self) -> DataFrame:
-        rows = self.enriched_label_rows.drop("shop_id")
-        return self._with_shops(self.train_match, rows, self.train_stats, self.settings.feature_days)
+        return self._with_shops("train", self.enriched_label_rows.drop("shop_id"))
 
     @cached_property
     def answer_pair_columns(self) -> DataFrame:
-        rows = self.enriched_query_rows
-        return self._with_shops(self.answer_match, rows, self.answer_stats, self.settings.answer_days)
+        return self._with_shops("answer", self.enriched_query_rows)
 
     # Encoding
 
@@ -163,7 +173,8 @@ class Positioning:
     def codes(self) -> DataFrame:
         """One encoder for both sides, as labelled and query rows must get the same codes."""
         train, query = self._cells
-        return encode.ordinal_codes(train.unionByName(query), encode.encoded_columns())
+        found = encode.ordinal_codes(train.unionByName(query), encode.encoded_columns(), self._hand_off)
+        return self._hand_off(found, "codes")
 
     @cached_property
     def encoded_label_rows(self) -> DataFrame:
@@ -191,13 +202,13 @@ class Positioning:
     def train_features(self) -> DataFrame:
         """(row_id, label, 77 features) of the labelled pairs."""
         rows = self._coded(self.enriched_label_rows.drop("shop_id"), self.encoded_label_rows)
-        return self._features(self._with_shops(self.train_match, rows, self.train_stats, self.settings.feature_days))
+        return self._features(self._with_shops("train", rows))
 
     @cached_property
     def answer_features(self) -> DataFrame:
         """(row_id, 77 features) of the pairs to be ranked."""
         rows = self._coded(self.enriched_query_rows, self.encoded_query_rows)
-        return self._features(self._with_shops(self.answer_match, rows, self.answer_stats, self.settings.answer_days))
+        return self._features(self._with_shops("answer", rows))
 
     # Answers
 
@@ -209,11 +220,18 @@ class Positioning:
         return model.score_pairs(ranker, self.answer_features)
 
     def answer(self, ranker: PipelineModel) -> DataFrame:
-        """(row_id, shop_id) by the trained ranker."""
-        return best_candidate(self.scores(ranker), F.col("score"))
+        """(row_id, shop_id) by the trained ranker, one row per query row."""
+        return self.answer_by_scores(self.scores(ranker))
+
+    def answer_by_scores(self, scores: DataFrame) -> DataFrame:
+        """(row_id, shop_id) by given scores of the pairs, one row per query row."""
+        return self._for_all_rows(best_candidate(scores, F.col("score")))
+
+    def _for_all_rows(self, best: DataFrame) -> DataFrame:
+        return self.tables.query_rows.select("row_id").join(best, "row_id", "left")
 
     def answer_by_rule(self) -> DataFrame:
-        """(row_id, shop_id) without training: largest overlap, then nearest shop."""
+        """(row_id, shop_id) without training, one row per query row: largest overlap, then nearest shop."""
         rows = self.tables.query_rows.select("row_id", "longitude", "latitude")
         places = self.tables.shops.select(
             id_number("shop_id").alias("shop_no"),
@@ -222,4 +240,4 @@ class Positioning:
         )
         placed = spread_join(self.answer_match.join(rows, "row_id"), places, "shop_no", "left")
         nearest = -F.coalesce("dist", F.lit(float("inf")))
-        return best_candidate(pairs.pair_geo(placed), F.col("wifi_in_swifi"), nearest)
+        return self._for_all_rows(best_candidate(pairs.pair_geo(placed), F.col("wifi_in_swifi"), nearest))

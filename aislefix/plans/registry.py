@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from aislefix.functions.calendar import calendar_columns
 from aislefix.functions.ids import id_number, with_prefix
@@ -15,13 +16,12 @@ from aislefix.plans.pipeline import Positioning
 from aislefix.settings import SLOTS
 from aislefix.sources import schemas
 from aislefix.sources.adapter import load_tables
-from aislefix.sources.tables import read_table, shared_folder, with_shop_id, write_answer, write_table
+from aislefix.sources.tables import (
+    materialize, read_prior, read_query_rows, read_shops, read_table, read_visits, shared_folder, with_shop_id, write_answer, write_table,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Training in the registered queries is kept short; the settings are parameters of the ranker.
-QUERY_BOOSTING = model.BoostingSettings(rounds=5, depth=5)
-
 
 def rounded(column: Column, digits: int) -> Column:
     """Half-up by plain double arithmetic; the built-in goes through decimals, at many times the cost."""
@@ -67,14 +67,39 @@ def query_rows_scan(p: Positioning) -> DataFrame:
 
 
 def prior_top1(p: Positioning) -> DataFrame:
-    return with_shop_id(candidates.prior_top1(p.tables.prior))
+    return with_shop_id(candidates.prior_top1(p.tables.prior_train))
+
+
+def prior_top1_answer(p: Positioning) -> DataFrame:
+    return with_shop_id(candidates.prior_top1(p.tables.prior_answer))
+
+
+def _through_csv(df: DataFrame, name: str, schema: str, read: Callable[..., DataFrame]) -> DataFrame:
+    """Written as CSV, with the columns in the order of the schema, and read back by its reader."""
+    path = shared_folder(df.sparkSession, name)
+    write_table(df.select([field.strip().split()[0] for field in schema.split(",")]), path, "csv")
+    return read(df.sparkSession, path)
 
 
 def csv_roundtrip(p: Positioning) -> DataFrame:
-    """Query rows written as CSV and read back with the declared schema."""
-    path = shared_folder(p.tables.query_rows.sparkSession, "query-rows")
-    write_table(p.tables.query_rows, path, "csv")
-    return read_table(p.tables.query_rows.sparkSession, path, schemas.QUERY_ROWS, "csv")
+    return _through_csv(p.tables.query_rows, "query-rows", schemas.QUERY_ROWS, read_query_rows)
+
+
+def csv_shops(p: Positioning) -> DataFrame:
+    return _through_csv(p.tables.shops, "shops", schemas.SHOPS, read_shops)
+
+
+def csv_visits(p: Positioning) -> DataFrame:
+    return _through_csv(p.tables.visits, "visits", schemas.VISITS, read_visits)
+
+
+def csv_prior_train(p: Positioning) -> DataFrame:
+    return _through_csv(p.tables.prior_train, "prior", schemas.PRIOR_TRAIN, read_prior)
+
+
+def csv_prior_answer(p: Positioning) -> DataFrame:
+    read = partial(read_prior, labelled=False)
+    return _through_csv(p.tables.prior_answer, "prior", schemas.PRIOR_ANSWER, read)
 
 
 # Projections and scalar functions
@@ -200,9 +225,17 @@ def shop_profile(p: Positioning) -> DataFrame:
     return with_shop_id(p.train_shop_profile)
 
 
+def shop_profile_answer(p: Positioning) -> DataFrame:
+    return with_shop_id(p.answer_shop_profile)
+
+
+def shop_ap_list_answer(p: Positioning) -> DataFrame:
+    return with_shop_id(profiles.shop_ap_list(p.answer_stats))
+
+
 def _whole_profile(stats: DataFrame, days: int) -> DataFrame:
     """Each access point of a shop beside the shop's own profile."""
-    own = profiles.shop_signals(stats, days)
+    own = profiles.shop_profile(stats, days)
     return with_shop_id(profiles.spread_join(profiles.ap_profile(stats, days), own, "shop_no"))
 
 
@@ -290,33 +323,56 @@ def answer_rule(p: Positioning) -> DataFrame:
 
 
 def rank_gbt(p: Positioning) -> DataFrame:
-    """Scores of the query pairs by a ranker that was saved and loaded again."""
+    """The query pairs, whether their scores are probabilities, and equal by the ranker saved and loaded again."""
     path = shared_folder(p.tables.visits.sparkSession, "ranker")
-    model.save_model(p.fit(QUERY_BOOSTING), path)
-    return with_shop_id(p.scores(model.load_model(path)))
+    ranker = p.fit()
+    model.save_model(ranker, path)
+    features = materialize(p.answer_features, "answer-features")
+    first = model.score_pairs(ranker, features)
+    again = model.score_pairs(model.load_model(path), features).withColumnRenamed("score", "loaded")
+    return with_shop_id(
+        first.join(again, ["row_id", "shop_no"]).select(
+            "row_id", "shop_no", F.col("score").between(0, 1).alias("is_probability"),
+            (F.col("score") == F.col("loaded")).alias("same_when_loaded"),
+        )
+    )
 
 
 def feature_importance(p: Positioning) -> DataFrame:
-    return model.feature_importance(p.fit(QUERY_BOOSTING), p.tables.visits)
+    """Every feature, whether its importance is not negative, and the total of all."""
+    found = model.feature_importance(p.fit(), p.tables.visits)
+    total = F.sum("importance").over(Window.partitionBy(F.lit(1)))  # one row a feature
+    return found.select("feature", (F.col("importance") >= 0).alias("not_negative"), total.alias("total"))
 
 
 def answer_pipeline(p: Positioning) -> DataFrame:
-    """The answer file, written as CSV and read back."""
+    """The answer file, written as CSV and read back, held against the scores it follows from."""
     spark = p.tables.visits.sparkSession
     path = shared_folder(spark, "answer")
-    write_answer(p.answer(p.fit(QUERY_BOOSTING)), path)
-    return read_table(spark, path, "row_id bigint, shop_id string", "csv")
+    scores = materialize(p.scores(p.fit()), "scores")
+    write_answer(p.answer_by_scores(scores), path)
+    answer = read_table(spark, path, schemas.ANSWER)
+    chosen = answer.withColumn("chosen", id_number("shop_id")).join(scores, "row_id", "left")
+    held = chosen.groupBy("row_id").agg(
+        F.max("score").alias("best"), F.max(F.when(F.col("shop_no") == F.col("chosen"), F.col("score"))).alias("own")
+    )
+    return held.select(
+        "row_id", F.col("best").isNotNull().alias("has_candidate"), F.col("own").isNotNull().alias("chose_candidate"),
+        F.coalesce(F.col("best") > F.col("own"), F.lit(False)).alias("another_scores_higher"),
+    )
 
 
 STEPS: dict[str, Callable[[Positioning], DataFrame]] = {
     step.__name__: step
     for step in (
-        visits_scan, shops_scan, query_rows_scan, prior_top1, csv_roundtrip,
+        visits_scan, shops_scan, query_rows_scan, prior_top1, prior_top1_answer,
+        csv_roundtrip, csv_shops, csv_visits, csv_prior_train, csv_prior_answer,
         visit_calendar, mall_distance, shop_dim, pair_geo_features, pair_signal_features, feature_window, label_window,
         scan_hits, scan_slots, scan_overlap,
         visit_shop_join, slot_match_features, mall_profile, ap_hit_count, ap_min_support, ap_profile,
         shop_mean_signal, shop_ap_list, shop_modal_ap_ties, shop_modal_ap,
-        shop_slot1_mean, shop_slot1_variety, shop_slot1_modal_ap, shop_profile, profiles_train, profiles_query,
+        shop_slot1_mean, shop_slot1_variety, shop_slot1_modal_ap, shop_profile,
+        shop_profile_answer, shop_ap_list_answer, profiles_train, profiles_query,
         ap_signal_pairs, ap_popular_shops, ap_index_train, ap_index_query,
         candidate_pairs_train, candidate_pairs_query, candidate_union_train, candidate_union_query, candidate_recall,
         row_ids, ordinal_encode, pair_features_train, pair_features_query,

@@ -33,7 +33,8 @@ def load_tables(spark: SparkSession, sf_dir: str, stored: bool = False) -> Table
     query_rows = rows.where(F.col("o_orderstatus") == "P").select(
         "row_id", "user_id", "mall_id", "time_stamp", "longitude", "latitude", "wifi_infos"
     )
-    return Tables(shops, visits, query_rows, _prior(rows))
+    pending = F.col("o_orderstatus") == "P"
+    return Tables(shops, visits, query_rows, _prior(rows.where(~pending)), _prior(rows.where(pending)).drop("label"))
 
 
 def _shops(supplier: DataFrame) -> DataFrame:

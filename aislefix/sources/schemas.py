@@ -14,3 +14,4 @@ QUERY_ROWS = (
 )
 PRIOR_TRAIN = "row_id bigint, shop_id string, label int, shop_index int"
 PRIOR_ANSWER = "row_id bigint, shop_id string, shop_index int"
+ANSWER = "row_id bigint, shop_id string"

@@ -16,17 +16,24 @@ _made: list[str] = []
 
 @dataclass(frozen=True)
 class Tables:
-    """The inputs of the method. ``visits`` carry a unique ``row_id``."""
+    """The inputs of the method. ``visits`` carry a unique ``row_id`` (see ``encode.numbered``).
+
+    Visits and query rows are numbered apart, and each side has its own prior.
+    """
 
     shops: DataFrame
     visits: DataFrame
     query_rows: DataFrame
-    prior: DataFrame
+    prior_train: DataFrame
+    prior_answer: DataFrame
 
 
 def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "csv") -> DataFrame:
+    """A file with exactly these columns; a cell that does not parse, or another header, fails the job."""
     reader = spark.read.schema(schema)
-    return reader.csv(path, header=True) if fmt == "csv" else reader.format(fmt).load(path)
+    if fmt == "csv":
+        return reader.csv(path, header=True, mode="FAILFAST", enforceSchema=False)
+    return reader.format(fmt).load(path)
 
 
 def read_shops(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -45,18 +52,15 @@ def read_prior(spark: SparkSession, path: str, fmt: str = "csv", labelled: bool
     return read_table(spark, path, schemas.PRIOR_TRAIN if labelled else schemas.PRIOR_ANSWER, fmt)
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
-    """Write a stage table. Partition visits by ``transaction_day`` to prune windows at the scan."""
+def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
     writer.save(path)
 
 
 def write_answer(answer: DataFrame, path: str) -> None:
-    """``row_id,shop_id`` as text, one line per answered row."""
+    """``row_id,shop_id`` as text, one line per query row; without an answer the shop is empty."""
     write_table(answer.select(answer.row_id.cast("string").alias("row_id"), "shop_id"), path, "csv")
 
 

@@ -32,3 +32,9 @@ def test_distances_against_plain_arithmetic(spark):
     h = math.sin((d - b) / 2) ** 2 + math.cos(b) * math.cos(d) * math.sin((c - a) / 2) ** 2
     assert math.isclose(got.d, 2 * 6371000 * math.asin(math.sqrt(h)), rel_tol=1e-9)
     assert math.isclose(got.x, 6371000 * math.radians(0.05), rel_tol=1e-9)
+
+
+def test_arcs_go_the_short_way_round(spark):
+    east, west = F.lit(179.9), F.lit(-179.9)
+    got = spark.range(1).select(equator_arc(east, west).alias("x")).first()
+    assert math.isclose(got.x, 6371000 * math.radians(0.2), rel_tol=1e-6)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aislefix.operators import encode, pairs
 from aislefix.operators.ranking import best_candidate
 
-LOOKUP = "shop_no bigint, wifi_bssid bigint, wifi_signal double, sw_number double, listed int"
+LOOKUP = "shop_no bigint, wifi_bssid bigint, wifi_signal double, sw_number double"
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +17,7 @@ def matched(spark):
         [(1, "b_5|-70|true;b_6|-60|false;b_5|-80|false"), (2, None)], "row_id bigint, wifi_infos string"
     )
     wanted = spark.createDataFrame([(1, 7), (1, 8), (1, 9), (2, 7)], "row_id bigint, shop_no bigint")
-    lookup = spark.createDataFrame([(7, 5, -71.5, 0.5, 1), (7, 6, None, None, 1), (8, 6, -61.0, 2.0, 1)], LOOKUP)
+    lookup = spark.createDataFrame([(7, 5, -71.5, 0.5), (7, 6, None, None), (8, 6, -61.0, 2.0)], LOOKUP)
     return {(r.row_id, r.shop_no): r for r in pairs.pair_match(wanted, rows, lookup).collect()}
 
 
@@ -43,8 +43,8 @@ def test_lookup_of_query_rows_mixes_two_windows(spark):
         "shop_no bigint, wifi_bssid bigint, n_hits bigint, signal_sum bigint, feature_hits bigint, feature_signal_sum bigint",
     )
     early = {r.wifi_bssid: r for r in pairs.lookup_query(stats, 24, 31).collect()}
-    assert (early[5].wifi_signal, early[5].sw_number, early[5].listed) == (-50.0, 3 / 24, 1)
-    assert (early[6].wifi_signal, early[6].sw_number, early[6].listed) == (None, None, 1)
+    assert (early[5].wifi_signal, early[5].sw_number) == (-50.0, 3 / 24)
+    assert (early[6].wifi_signal, early[6].sw_number) == (None, None)
     late = {r.wifi_bssid: r for r in pairs.lookup_query(stats, 24, 31, "answer").collect()}
     assert (late[6].wifi_signal, late[6].sw_number) == (-90.0, 1 / 31)
 
@@ -54,7 +54,8 @@ def test_dense_codes_against_sorting(spark, bits):
     draw = random.Random(7)
     values = {name: [draw.choice((-999, draw.randrange(40), draw.randrange(1 << 50))) for _ in range(300)] for name in "ab"}
     rows = [(name, value) for name, column in values.items() for value in column]
-    got = encode.dense_codes(spark.createDataFrame(rows, "name string, value bigint"), bits).collect()
+    distinct = encode.distinct_values(spark.createDataFrame(rows, "name string, value bigint"))
+    got = encode.dense_codes(distinct, bits).collect()
     for name, column in values.items():
         want = {value: code for code, value in enumerate(sorted(set(column)))}
         assert {r.value: r.code for r in got if r.name == name} == want
@@ -70,6 +71,22 @@ def test_encoder_spans_both_sides_and_keeps_rows(spark):
     assert got == {1: (1, 2), 2: (None, 0)}
 
 
+def test_negative_ids_are_refused(spark):
+    rows = spark.createDataFrame([(1, 40, -1000)], "row_id bigint, mall_no bigint, wifi1_bssid bigint")
+    with pytest.raises(Exception, match="negative id: -1000"):
+        encode.ordinal_codes(rows, ["mall_no", "wifi1_bssid"]).collect()
+
+
+def test_rows_without_a_key_are_numbered(spark):
+    rows = [(f"u_{i % 40}", None if i % 7 else "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "user_id string, wifi_infos string").repartition(9)
+    got = sorted(tuple(r) for r in encode.numbered(df).collect())
+    assert [r[0] for r in got] == list(range(300))
+    key = lambda r: (r[0], r[1] is not None, r[1])
+    assert [r[1:] for r in got] == sorted(rows, key=key)
+    assert encode.numbered(df.limit(0)).count() == 0
+
+
 def test_row_numbers_are_dense(spark):
     rows = spark.createDataFrame([(70,), (5,), (1 << 40,)], "row_id bigint")
     assert sorted((r.row_id, r.row_number) for r in encode.row_numbers(rows, "row_id").collect()) == [

@@ -63,15 +63,13 @@ def test_shop_profile_equals_its_parts(hits):
         for shop, row in by_shop(part).items():
             for name in part.columns:
                 assert whole[shop][name] == row[name]
-    assert whole[1].swifi_infos == [10, 11, 12]
 
 
-def test_long_lists_are_dealt_out_whole(hits):
-    stats = profiles.ap_stats(hits)
-    lists = profiles.shop_ap_list(stats, segment_size=2).where("shop_no = 1").collect()
-    assert {r.segments for r in lists} == {2} and len(lists) == 2
-    assert sorted(b for r in lists for b in r.swifi_infos) == [10, 11, 12]
-    assert by_shop(profiles.shop_profile(stats, 31, segment_size=2))[1].swifi_infos is None
+def test_no_access_point_of_a_large_shop_is_lost(spark):
+    many = spark.range(6000).selectExpr("id AS row_id", "1L AS shop_no", "1 AS transaction_day", "1 AS k", "1 AS pos", "id * 1000 AS wifi_bssid", "-50 AS wifi_signal")
+    stats = profiles.ap_stats(many)
+    assert profiles.shop_ap_list(stats).distinct().count() == 6000
+    assert profiles.shop_profile(stats, 24).count() == 1
 
 
 def test_min_support_spares_strongest_hit_columns(hits):
@@ -79,7 +77,7 @@ def test_min_support_spares_strongest_hit_columns(hits):
     seen = {(r.shop_no, r.wifi_bssid) for r in profiles.ap_profile(stats, 31).collect()}
     assert seen == {(1, 10), (1, 11), (3, 10)}
     assert by_shop(profiles.shop_slot1_modal_ap(stats))[1].swifi1_bssid_maxsignal == 12
-    assert set(by_shop(profiles.shop_signals(stats, 31))) == {1, 3}
+    assert set(by_shop(profiles.shop_profile(stats, 31))) == {1, 3}
     kept = with_min_support(hits, 2).collect()
     assert {(r.row_id, r.wifi_bssid, r.wifi_counts) for r in kept} == {
         (1, 10, 3), (2, 10, 3), (4, 10, 3), (1, 11, 2), (2, 11, 2),

@@ -4,7 +4,7 @@ import pytest
 
 from aislefix.functions.scans import ranked_hits, scan_size, slot_columns
 from aislefix.operators.enrich import with_slots
-from aislefix.operators.hits import explode_hits
+from aislefix.operators.hits import explode_hits, visit_hits
 
 SCANS = [
     (1, "b_5|-70|false;b_6|-60|true;b_7|-70|true"),
@@ -49,3 +49,15 @@ def test_slots_never_get_stronger(scans):
     for row in slots:
         signals = [row[f"wifi{k}_signal"] for k in range(1, 11)]
         assert signals == sorted(signals, reverse=True)
+
+
+@pytest.mark.parametrize("scan", ["b_1|-50|TRUE", "b_1|-50|yes", "b_1|-50", "b_1|-50|true|x", "b_1|x|true", "b_1|-50|true;;b_2"])
+def test_malformed_hits_fail(spark, scan):
+    rows = spark.createDataFrame([(1, scan)], "row_id bigint, wifi_infos string")
+    with pytest.raises(Exception, match="not a hit|CAST_INVALID_INPUT"):
+        explode_hits(rows, ["row_id"]).collect()
+
+
+def test_visits_without_a_shop_have_no_hits(spark):
+    rows = spark.sql("SELECT 1L AS row_id, CAST(NULL AS string) AS shop_id, timestamp_ntz'2017-08-01' AS time_stamp, 'b_1|-50|true' AS wifi_infos")
+    assert visit_hits(rows).count() == 0
