@@ -236,8 +236,13 @@ def mix_documents(
     marked = marked.withColumn("_mix_row", F.row_number().over(first)).where("_mix_row = 1")
     same = marked["_mix_k"].eqNullSafe(parts["_mix_k"]) & (marked["_mix_h"] == parts["_mix_h"])
     joined = marked.join(parts, same).select(*[marked[c] for c in df.columns], parts["parts"].alias("_mix_parts"))
-    pieces = F.split(F.col(text), f"(?<={WORD[:-1]})(?={_WHITE})")
-    taken = F.flatten(F.transform("_mix_parts", lambda x: F.slice(pieces, (x["begin"] + 1).cast("int"), x["words"].cast("int"))))
+    # The text's pieces are an argument of the outer function, so a text is split once, not once for each part.
+    split = F.split(F.col(text), f"(?<={WORD[:-1]})(?={_WHITE})")
+
+    def cut(pieces: Column) -> Column:
+        return F.flatten(F.transform("_mix_parts", lambda x: F.slice(pieces, (x["begin"] + 1).cast("int"), x["words"].cast("int"))))
+
+    taken = F.get(F.transform(F.array(split), cut), F.lit(0))
     mixed = joined.withColumn(text, F.regexp_replace(F.array_join(taken, ""), f"^{_WHITE}+", ""))
     if "n_chars" in df.columns:
         mixed = mixed.withColumn("n_chars", F.char_length(text).cast(df.schema["n_chars"].dataType))
