@@ -11,8 +11,10 @@ from aislefix.functions.scans import ranked_hits
 from aislefix.operators.spread import spread_join
 
 
-def in_feature_window(cutoff_day: int, time_stamp: Column | str = "time_stamp") -> Column:
-    return F.dayofmonth(time_stamp) <= cutoff_day
+def in_feature_window(visits: DataFrame, cutoff_day: int) -> Column:
+    """By the column ``transaction_day`` where there is one, as stored visits are partitioned by it."""
+    stored = "transaction_day" in visits.columns
+    return (F.col("transaction_day") if stored else F.dayofmonth("time_stamp")) <= cutoff_day
 
 
 def explode_hits(rows: DataFrame, carry: Sequence[Column | str]) -> DataFrame:

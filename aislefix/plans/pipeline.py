@@ -35,11 +35,11 @@ class Positioning:
 
     @cached_property
     def feature_visits(self) -> DataFrame:
-        return self.tables.visits.where(hits.in_feature_window(self.settings.cutoff_day))
+        return self.tables.visits.where(hits.in_feature_window(self.tables.visits, self.settings.cutoff_day))
 
     @cached_property
     def label_rows(self) -> DataFrame:
-        return self.tables.visits.where(~hits.in_feature_window(self.settings.cutoff_day))
+        return self.tables.visits.where(~hits.in_feature_window(self.tables.visits, self.settings.cutoff_day))
 
     @cached_property
     def feature_hits(self) -> DataFrame:
@@ -59,7 +59,7 @@ class Positioning:
     def enriched_label_rows(self) -> DataFrame:
         """Label rows against malls profiled from all visits."""
         placed = enrich.visits_with_mall(self.tables.visits, self.tables.shops)
-        late = placed.where(~hits.in_feature_window(self.settings.cutoff_day))
+        late = placed.where(~hits.in_feature_window(placed, self.settings.cutoff_day))
         return enrich.with_slots(enrich.with_calendar(late)).drop("time_stamp")
 
     @cached_property

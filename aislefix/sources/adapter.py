@@ -25,10 +25,14 @@ def load_tables(spark: SparkSession, sf_dir: str, stored: bool = False) -> Table
 
     shops = _shops(table("supplier"))
     rows = _rows(table("orders"), _scans(table("lineitem")), shops)
+    days = []
     if stored:
-        rows = materialize(rows, "rows")
+        # By side and day: windows of either side then read only their own files.
+        days = ["transaction_day"]
+        rows = rows.withColumn("transaction_day", F.dayofmonth("time_stamp"))
+        rows = materialize(rows, "rows", ("o_orderstatus", "transaction_day"))
     visits = rows.where((F.col("o_orderstatus") != "P") & F.col("shop_id").isNotNull()).select(
-        "row_id", "user_id", "shop_id", "time_stamp", "longitude", "latitude", "wifi_infos"
+        "row_id", "user_id", "shop_id", "time_stamp", "longitude", "latitude", "wifi_infos", *days
     )
     query_rows = rows.where(F.col("o_orderstatus") == "P").select(
         "row_id", "user_id", "mall_id", "time_stamp", "longitude", "latitude", "wifi_infos"

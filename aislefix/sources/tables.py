@@ -92,8 +92,15 @@ def remove_run_folders(spark: SparkSession) -> int:
     return removed
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back, so that later passes neither recompute nor depend on its lineage."""
+def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` once and read it back, so that later passes neither recompute nor depend on its lineage.
+
+    With ``partition_by`` later filters on those columns prune files; rows are
+    rebalanced first, so that a folder gets few files and a large one several tasks.
+    """
     path = shared_folder(df.sparkSession, name)
-    write_table(df, path)
+    if partition_by:
+        df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
+    else:
+        write_table(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -160,3 +160,12 @@ def test_window_steps_have_distributed_plans(spark, sf_dir):
 def test_scans_read_only_the_columns_they_need(spark, sf_dir):
     plan = plan_of(driver.queries()["shop_dim"](spark, sf_dir))
     assert "ReadSchema: struct<s_suppkey:bigint,s_nationkey:int,s_acctbal:double>" in plan
+
+
+def test_windows_of_stored_rows_prune_files(spark, sf_dir):
+    method = Positioning(load_tables(spark, sf_dir, stored=True), stored=True)
+    for step in (method.feature_visits, method.label_rows, method.tables.query_rows):
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+        assert "o_orderstatus" in filters
+        assert step is method.tables.query_rows or "transaction_day" in filters
