@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -12,6 +13,8 @@ from aislefix.sources import schemas
 
 
 _made: list[str] = []
+#: Where a session on one machine keeps stage tables if it names no folder; None: such a session must name one.
+local_folder: str | None = None
 
 
 @dataclass(frozen=True)
@@ -72,10 +75,13 @@ def with_shop_id(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a stage table or model, in the place the session names in ``spark.checkpoint.dir``.
 
-    Every executor must reach that place, so there is no fallback to a
-    machine-local folder. ``remove_run_folders`` takes away what a session made.
+    Every executor must reach that place, so a cluster's session must name it;
+    ``local_folder`` serves a session on one machine only.
+    ``remove_run_folders`` takes away what a session made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        base = local_folder
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
