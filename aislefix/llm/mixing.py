@@ -19,7 +19,8 @@ a source cannot take is reshared by weight. In closed form every target is
 least(limit, weight * level), with the greatest level over the sources in order of
 limit / weight.
 
-Scale: text is read once for its size, and once more where texts are wanted.
+Scale: slots are unfolded from a few rows a source, so Spark's estimate of their size is far too small; the join by
+index is asked to shuffle, or it would broadcast them. Text is read once for its size, and once more where texts are wanted.
 Positions are prefix sums in two levels over about sqrt(rows) chunks of each source,
 so a source with a third of all rows is spread over all tasks. Tables per source
 have one row a source.
@@ -207,7 +208,7 @@ def mix_report(
     sources = materialize(source_targets(sized, settings), "sources")
     spans = _overlaps(placed_documents(sized, sources), settings)
     times = chosen_blocks(sources, settings).groupBy("sk", "block").agg(F.count("*").alias("times"))
-    met = spans.join(times, ["sk", "block"], "left")
+    met = spans.join(times.hint("merge"), ["sk", "block"], "left")
     taken = F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0))
     found = met.groupBy("uid", "k", "n", "source_size", "target").agg(taken.alias("taken"))
     return found.select(F.col("k").alias(key), F.col("n").alias("size"), "source_size", "target", "taken")
@@ -227,7 +228,7 @@ def mix_documents(
     once = once.groupBy("k", "h").agg(F.min(F.struct("sk", "source", "n", "uid")).alias("m")).select("k", "h", "m.*")
     sources = materialize(source_targets(once, settings), "sources")
     spans = _overlaps(placed_documents(once, sources), settings).where("n > 0")
-    met = spans.join(chosen_blocks(sources, settings), ["sk", "block"])
+    met = spans.join(chosen_blocks(sources, settings).hint("merge"), ["sk", "block"])
     # At most a text's own number of blocks in each list.
     parts = met.groupBy("k", "h", "turn").agg(F.sort_array(F.collect_list(F.struct("begin", "words"))).alias("parts"))
     parts = parts.select(F.col("k").alias("_mix_k"), F.col("h").alias("_mix_h"), "turn", "parts")
