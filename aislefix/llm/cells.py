@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[32, *range(9, 14)]] = True
