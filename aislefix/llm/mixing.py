@@ -163,7 +163,8 @@ def chosen_blocks(sources: DataFrame, settings: MixSettings) -> DataFrame:
     sums = counted.groupBy("sk", "g").agg(F.sum("count").alias("group_count"))
     sums = sums.select("sk", "g", F.coalesce(F.sum("group_count").over(by_group), F.lit(0)).alias("group_first"))
     in_group = Window.partitionBy("sk", "g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = counted.withColumn("before", F.coalesce(F.sum("count").over(in_group), F.lit(0))).join(sums, ["sk", "g"])
+    numbered = counted.withColumn("before", F.coalesce(F.sum("count").over(in_group), F.lit(0)))
+    numbered = numbered.join(sums.hint("merge"), ["sk", "g"])
     from_slot = F.col("group_first") + F.col("before")
     # No block is taken more than most_repeats times; a draw beyond that is left empty.
     past = F.least(from_slot + F.col("count"), settings.most_repeats * F.col("blocks"))
