@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from aislefix.settings import PAD, SLOTS
+from aislefix.sources.tables import shared_folder
 
 ROW_FEATURES = [
     "user_no",
@@ -52,13 +53,12 @@ FEATURES = [*ROW_FEATURES, *SHOP_FEATURES, *PAIR_FEATURES]
 
 @dataclass(frozen=True)
 class BoostingSettings:
-    """Depth 7 allows 128 leaves. Training ends before ``rounds`` when a round no longer lowers the loss of
-    held-out rows by ``least_gain`` of it; ``held_out`` is the share of the labelled rows kept for that.
+    """Depth 7 allows 128 leaves. All ``rounds`` are trained, on all rows given: nothing ends training before.
+    ``held_out`` is the share of the labelled rows to leave out where the loss on unseen rows is measured.
     """
 
     rounds: int = 3000
     held_out: float = 0.1
-    least_gain: float = 0.01
     depth: int = 7
     rate: float = 0.08
     bins: int = 255
@@ -81,6 +81,10 @@ def _filled(pairs: DataFrame) -> DataFrame:
 
 def fit_ranker(pairs: DataFrame, settings: BoostingSettings = BoostingSettings()) -> PipelineModel:
     """Fit on labelled pairs. The learner passes over its input several times: give it a stored table."""
+    context = pairs.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        # Without one the lineage of the learner's predictions grows by every round.
+        context.setCheckpointDir(shared_folder(pairs.sparkSession, "rounds"))
     learner = GBTClassifier(
         featuresCol="features",
         labelCol="label",
@@ -93,21 +97,19 @@ def fit_ranker(pairs: DataFrame, settings: BoostingSettings = BoostingSettings()
         minInstancesPerNode=settings.min_leaf,
         seed=settings.seed,
         maxMemoryInMB=1024,
-        validationIndicatorCol="held_out",
-        validationTol=settings.least_gain,
     )
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     labelled = _filled(pairs).withColumn("label", F.col("label").cast("double"))
-    return Pipeline(stages=[assembler, learner]).fit(labelled.withColumn("held_out", held_out(settings)))
+    return Pipeline(stages=[assembler, learner]).fit(labelled)
 
 
 def held_out(settings: BoostingSettings) -> Column:
-    """Whether a pair's row is kept for the stopping rule: all pairs of a row go together."""
+    """Whether a pair's row belongs to those left out to measure the loss: all pairs of a row go together."""
     return F.pmod(F.xxhash64("row_id", F.lit(settings.seed)), F.lit(1000)) < int(1000 * settings.held_out)
 
 
 def rounds_used(model: PipelineModel) -> int:
-    """Trees of the fitted ranker: the rounds up to the best one on the held-out rows."""
+    """Trees of the fitted ranker, one a round."""
     return model.stages[-1].getNumTrees
 
 

@@ -1,0 +1,39 @@
+"""Training of the ranker on made pairs whose labels are noisy, so that the loss of unseen rows is not smooth."""
+
+import math
+import random
+
+import pytest
+
+from aislefix.operators import model
+
+
+@pytest.fixture(scope="module")
+def pairs(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(600):
+        values = [rng.random() for _ in model.FEATURES]
+        rows.append((i, int(rng.random() < 0.15 + 0.7 * (values[0] > 0.5)), *values))
+    names = ", ".join(f"{name} double" for name in model.FEATURES)
+    return spark.createDataFrame(rows, f"row_id bigint, label int, {names}").coalesce(1).cache()
+
+
+def test_no_round_is_left_out(pairs):
+    assert model.BoostingSettings().rounds == 3000
+    ranker = model.fit_ranker(pairs, model.BoostingSettings(rounds=40, depth=3))
+    assert model.rounds_used(ranker) == 40
+
+
+def test_loss_on_rows_not_trained_on(pairs):
+    settings = model.BoostingSettings(rounds=15, held_out=0.3)
+    ranker = model.fit_ranker(pairs.where(~model.held_out(settings)), settings)
+    unseen = pairs.where(model.held_out(settings))
+    label = {r.row_id: r.label for r in unseen.select("row_id", "label").collect()}
+    scores = [(r.score, label[r.row_id]) for r in model.score_pairs(ranker, unseen).collect()]
+    share = sum(label.values()) / len(label)
+
+    def loss(score):
+        return -sum(math.log(score(s) if y else 1 - score(s)) for s, y in scores) / len(scores)
+
+    assert len({s for s, _ in scores}) > 10 and loss(lambda s: s) < loss(lambda s: share)
