@@ -79,17 +79,21 @@ def fingerprints_of(part: TextSlice) -> np.ndarray:
     return result
 
 
-def with_fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``fp`` (bigint, the 64 bits) of every row."""
+def with_fingerprint(
+    df: DataFrame, key: str = "doc_id", text: str = "text", carried: tuple[str, ...] | list[str] = ()
+) -> DataFrame:
+    """``key``, the ``carried`` columns and ``fp`` (bigint, the 64 bits) of every row."""
+    names = [key, *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = np.concatenate([fingerprints_of(p) for p in text_slices(batch.column(1), _SLICE_BYTES)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=[key, "fp"])
+                found = np.concatenate([fingerprints_of(p) for p in text_slices(batch.column(0), _SLICE_BYTES)])
+                kept = [batch.column(i + 1) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(found)], names=[*names, "fp"])
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(df[key], df[text]).mapInArrow(run, f"`{key}` {kind}, fp bigint")
+    kinds = ", ".join(f"`{name}` {df.schema[name].dataType.simpleString()}" for name in names)
+    return df.select(df[text], *(df[name] for name in names)).mapInArrow(run, f"{kinds}, fp bigint")
 
 
 def _syndrome(fp: Column) -> Column:
@@ -167,15 +171,20 @@ def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", most_bits: int = 2) -> DataFrame:
-    """``key, fingerprint, component_id`` of every row; component_id is the smallest key of its group."""
-    marked = materialize(with_fingerprint(df, key, text).withColumnRenamed(key, "_key"), "fingerprints")
+def _rooted(marked: DataFrame, most_bits: int) -> DataFrame:
+    """``fp, root, component_id`` of every distinct fingerprint of ``marked``: its group, and the group's smallest ``_key``."""
     kinds = materialize(marked.groupBy("fp").agg(F.min("_key").alias("least")), "kinds")
     roots = components(links_between(kinds.select("fp"), most_bits))
     placed = spread_join(kinds, roots.withColumnRenamed("node", "fp"), "fp", "left")
     placed = placed.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     groups = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = spread_join(placed, groups, "root").select("fp", "component_id")
+    return spread_join(placed, groups, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", most_bits: int = 2) -> DataFrame:
+    """``key, fingerprint, component_id`` of every row; component_id is the smallest key of its group."""
+    marked = materialize(with_fingerprint(df, key, text).withColumnRenamed(key, "_key"), "fingerprints")
+    named = _rooted(marked, most_bits).select("fp", "component_id")
     found = spread_join(marked, named, "fp")
     return found.select(
         F.col("_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -185,16 +194,24 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", most
 def keep_one_of_each_group(df: DataFrame, key: str = "doc_id", text: str = "text", most_bits: int = 2) -> DataFrame:
     """One row of each group, that with the smallest key, with all columns of ``df``.
 
-    Of rows that repeat a key, the smallest by a hash of key and text stays. Rows without a key have no
-    group to be named by; they are kept.
+    Of a group's rows that share its smallest key, that with the smallest hash of the text stays, so a key
+    whose texts are in different groups stays once for each. Rows without a key have no group to be named
+    by; they are kept.
     """
-    groups = near_duplicates(df, key, text, most_bits)
-    chosen = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_chosen")).distinct()
-    stays = df.join(chosen, df[key] == chosen["_chosen"], "left_semi")
-    one = _first_of_key(stays, key, text)
-    return one.unionByName(df.where(df[key].isNull()))
+    keyed = df.where(df[key].isNotNull()).select(df[key].alias("_key"), df[text].alias("_text"))
+    marked = with_fingerprint(keyed.select("*", F.xxhash64("_text").alias("_hash")), "_key", "_text", carried=["_hash"])
+    marked = materialize(marked, "fingerprints")
+    rooted = _rooted(marked, most_bits)
+    first = spread_join(marked, rooted, "fp").where("_key = component_id").groupBy("root").agg(
+        F.first("_key").alias("_chosen"), F.min("_hash").alias("_chosen_hash")
+    )
+    chosen = first.select("_chosen", "_chosen_hash")
+    same = (df[key] == chosen["_chosen"]) & (F.xxhash64(df[text]) == chosen["_chosen_hash"])
+    stays = df.join(chosen, same, "left_semi")
+    return _first_of_text(stays, key, text).unionByName(df.where(df[key].isNull()))
 
 
-def _first_of_key(df: DataFrame, key: str, text: str) -> DataFrame:
-    by_key = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    return df.withColumn("_rank", F.row_number().over(by_key)).where("_rank = 1").drop("_rank")
+def _first_of_text(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One of the rows that repeat both key and text."""
+    by_text = Window.partitionBy(key, F.xxhash64(text)).orderBy(F.xxhash64(text))
+    return df.withColumn("_rank", F.row_number().over(by_text)).where("_rank = 1").drop("_rank")

@@ -125,6 +125,13 @@ def test_frames(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_key_with_texts_in_two_groups_names_both(spark):
+    one, two = ([" ".join(f"{w}{i}" for i in range(60))] for w in ("red", "blue"))
+    rows = [(5, one[0]), (7, one[0]), (5, two[0]), (9, two[0]), (5, two[0])]
+    kept = simhash.keep_one_of_each_group(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted([(5, one[0]), (5, two[0])])
+
+
 def test_query_on_the_tables(spark, sf_dir):
     import __spark_entry__
 
