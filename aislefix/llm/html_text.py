@@ -98,13 +98,17 @@ _NAME_PART = re.compile(r"[a-z0-9]+")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
-def _never_by_attributes(raw: str) -> bool:
+def _never_by_attributes(raw: str, tag: str) -> bool:
+    """Parts of a class name or id condemn an element, unless it is an article or has a content name of its own
+    beside; whole names condemn any element but an article with a content name."""
     if not raw.strip(" /"):
         return False
+    whole: set[str] = set()
     names: set[str] = set()
     for name, value in _ATTRIBUTE.findall(raw):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
+            whole.update(value.lower().split())
             names.update(_NAME_PART.findall(value.lower()))
         elif name == "role" and value.lower().strip() in NEVER_ROLES:
             return True
@@ -112,7 +116,12 @@ def _never_by_attributes(raw: str) -> bool:
             return True
         elif name == "style" and _HIDDEN_STYLE.search(value):
             return True
-    return bool(names & NEVER_CLASSES) or bool(names & UNLESS_CONTENT_CLASSES and not names & CONTENT_CLASSES)
+    content = bool(whole & CONTENT_CLASSES)
+    if tag == "article":
+        return not content and bool(whole & (NEVER_CLASSES | UNLESS_CONTENT_CLASSES))
+    if whole & NEVER_CLASSES or (names & NEVER_CLASSES and not content):
+        return True
+    return bool(names & UNLESS_CONTENT_CLASSES and not names & CONTENT_CLASSES)
 
 
 class _Page:
@@ -184,7 +193,7 @@ class _Page:
             self.never = 0
         if tag in BLOCK_TAGS or tag in ("a", "span", "label"):
             header = tag == "header" and not self.articles
-            never = tag in NEVER_TEXT or header or (tag not in ("body", "html", "main") and _never_by_attributes(attributes))
+            never = tag in NEVER_TEXT or header or (tag not in ("body", "html", "main") and _never_by_attributes(attributes, tag))
             self._push(tag, never)
 
     def end(self, tag: str) -> None:

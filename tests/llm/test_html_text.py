@@ -47,6 +47,15 @@ def test_pages(number):
     assert main_text(source) == want
 
 
+@pytest.mark.parametrize(
+    "start", ["<article class='post has-sidebar'>", "<article class='post category-social'>", "<article class='with-sidebar'>", "<div id='content' class='with-sidebar'>"]
+)
+def test_parts_of_class_names_do_not_condemn_the_main_text(start):
+    end = "</article>" if "article" in start else "</div>"
+    assert main_text(page(f"{start}<p>{LONG}</p><div class='comment content'><p>{OTHER}</p></div>{end}")) == LONG
+    assert main_text(page(f"<div class='sidebar-content'><p>{OTHER}</p></div>{start}<p>{LONG}</p>{end}")) == LONG
+
+
 def test_very_long_and_deep_pages():
     many = page("<article>" + f"<p>{LONG}</p>" * 3000 + "</article>")
     assert main_text(many).count("\n") == 2999
