@@ -1,8 +1,8 @@
 """Mixing sources to target weights: blocks of words, multinomial shards, pseudorandom order, join by index.
 
 The words of a source's documents lie on one line, cut into blocks of fixed length.
-The mix is a number of equal shards of slots; each shard draws how many of its
-slots every source fills. Of a source's slots, numbered through all shards, slot q takes
+The mix is a number of shards of slots, equal but for one slot; each shard draws how many of its
+slots every source fills. A source's slots make up its target at the words its blocks hold on average. Of a source's slots, numbered through all shards, slot q takes
 the block that a pseudorandom permutation of the source puts at place q modulo
 its number of blocks, so every block is taken once before any is taken again. Blocks
 meet the documents that lie in them by (source, index).
@@ -84,18 +84,19 @@ def source_targets(sized: DataFrame, settings: MixSettings) -> DataFrame:
     level = (total - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
     leveled = weighed.withColumn("total", total).withColumn("level", level)
     aimed = leveled.withColumn("target", F.least("limit", F.col("weight") * F.max("level").over(everyone)))
-    # Equal shards: as many slots as the total has blocks.
-    slots = F.ceil(F.col("total") / settings.block_words)
-    shards = F.greatest(F.lit(1), F.ceil(slots / settings.shard_slots))
-    shared = aimed.withColumn("shards", shards).withColumn("slots", F.ceil(slots / shards))
-    quota = F.when(F.col("total") > 0, F.col("slots") * F.col("target") / F.col("total")).otherwise(0.0)
-    parted = shared.withColumn("whole", F.floor(quota)).withColumn("rest", quota - F.floor(quota))
+    # A source's slots follow from the words its blocks hold on average; shards are equal but for one slot.
+    blocks = F.ceil(F.col("source_size") / settings.block_words)
+    wanted = F.when(F.col("source_size") > 0, blocks * F.col("target") / F.col("source_size")).otherwise(0.0)
+    asked = aimed.withColumn("blocks", blocks).withColumn("wanted", wanted)
+    shards = F.greatest(F.lit(1), F.ceil(F.sum("wanted").over(everyone) / settings.shard_slots))
+    quota = F.col("wanted") / F.col("shards")
+    parted = asked.withColumn("shards", shards).withColumn("whole", F.floor(quota)).withColumn("rest", quota - F.floor(quota))
     running = Window.partitionBy(F.lit(1)).orderBy("sk").rowsBetween(Window.unboundedPreceding, -1)
     return parted.select(
         "sk", "source", "source_size", "target", "shards", "whole", "rest",
         F.coalesce(F.sum("rest").over(running), F.lit(0.0)).alias("low"),
         F.sum("rest").over(everyone).alias("all_rest"),
-        F.ceil(F.col("source_size") / settings.block_words).alias("blocks"),
+        "blocks",
     )
 
 
@@ -150,10 +151,11 @@ def chosen_blocks(sources: DataFrame, settings: MixSettings) -> DataFrame:
     first = F.col("g") * F.col("size")
     last = F.least(first + F.col("size"), F.col("shards")) - 1
     shards = dealt.select("*", F.explode(F.sequence(first, last)).alias("shard"))
-    draws = F.round(F.col("all_rest")).cast("int")
-    scale = F.when(draws > 0, F.col("all_rest") / draws).otherwise(0.0)
+    unit = lambda j: _hashed(F.col("shard"), j, F.lit(settings.seed), below=F.lit(1 << 52)) / float(1 << 52)
+    # The residual shares seldom add up to a whole number: a shard draws once more as often as they are over one.
+    draws = F.floor(F.col("all_rest") + unit(F.lit(0))).cast("int")
     # Draw j of a shard falls on the source whose stretch of the residual shares holds it.
-    point = lambda j: _hashed(F.col("shard"), j, F.lit(settings.seed), below=F.lit(1 << 52)) / float(1 << 52) * draws * scale
+    point = lambda j: unit(j) * F.col("all_rest")
     drawn = F.filter(
         F.when(draws > 0, F.sequence(F.lit(1), draws)).otherwise(F.array().cast("array<int>")),
         lambda j: (point(j) >= F.col("low")) & (point(j) < F.col("low") + F.col("rest")),

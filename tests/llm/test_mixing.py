@@ -125,6 +125,15 @@ def test_documents(spark):
     assert {k: n for k, n in report.items() if n} == dict(words)
 
 
+def test_sources_smaller_than_a_block_get_their_share(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range((5, 20, 33)[i // 3 % 3])), f"s{i:03}") for i in range(180)]
+    got = mixing.mix_report(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    for size in (5, 20, 33):
+        own = [r for r in got if r.size == size]
+        assert sum(r.taken for r in own) == pytest.approx(sum(r.target for r in own), rel=0.12)
+    assert sum(r.taken for r in got) == pytest.approx(sum(r.target for r in got), rel=0.05)
+
+
 def test_empty(spark):
     df, _ = frame(spark)
     assert mixing.mix_report(df.limit(0)).count() == 0 and mixing.mix_documents(df.limit(0)).count() == 0
