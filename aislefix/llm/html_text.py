@@ -3,7 +3,8 @@
 The page is cut into blocks at block-level tags. The first pass decides blocks by
 where they stand (menus, forms, comments and the like are never text), by link
 density, length and stop-word density. Short or unclear blocks stay ambiguous; the
-second pass gives them the label of the nearest decided neighbour.
+second pass gives them the label of the nearest decided neighbour. On a page without
+any stop word, in another language then, length and link density decide alone.
 
 Markup is read leniently: open elements are kept on a stack, a missing end tag is
 implied by the next one that fits, a page may break off anywhere.
@@ -242,8 +243,13 @@ def _closing(tag: str) -> re.Pattern[str]:
     return re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.IGNORECASE)
 
 
-def _decide(block: Block, rules: BlockRules) -> int:
-    """First pass."""
+def _stop_density(block: Block) -> float:
+    words = block.text.lower().split()
+    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+
+
+def _decide(block: Block, rules: BlockRules, stopped: bool) -> int:
+    """First pass; ``stopped`` is whether the page has stop words of the known languages at all."""
     if block.never:
         return BAD
     size = len(block.text)
@@ -252,8 +258,9 @@ def _decide(block: Block, rules: BlockRules) -> int:
         return BAD
     if size < rules.short or block.heading:
         return UNCLEAR
-    words = block.text.lower().split()
-    stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+    if not stopped and any(map(str.isalpha, block.text)):
+        return GOOD if size >= rules.long else UNCLEAR
+    stops = _stop_density(block)
     if stops >= rules.high_stop_density or (stops >= rules.low_stop_density and size >= rules.long):
         return GOOD
     return UNCLEAR if stops > 0 or size < rules.long or block.in_article else BAD
@@ -261,9 +268,12 @@ def _decide(block: Block, rules: BlockRules) -> int:
 
 def label(blocks: list[Block], rules: BlockRules) -> None:
     """Both passes. A block in an article looks for neighbours there first; headings look forward first."""
+    stopped = any(not b.never and _stop_density(b) > 0 for b in blocks)
     for block in blocks:
-        block.label = _decide(block, rules)
+        block.label = _decide(block, rules, stopped)
     first = [b.label for b in blocks]
+    # Blocks of links alone say nothing of the rest of an article.
+    told = any(b.in_article and b.label == GOOD for b in blocks)
     nearest = {}
     for step in (1, -1):
         for inside in (False, True):
@@ -273,7 +283,9 @@ def label(blocks: list[Block], rules: BlockRules) -> None:
                 if first[i] != UNCLEAR and not (inside and (not blocks[i].in_article or blocks[i].never)):
                     last = i
     for i, block in enumerate(blocks):
-        if first[i] == UNCLEAR:
+        if first[i] == UNCLEAR and block.in_article and not told:
+            block.label = GOOD
+        elif first[i] == UNCLEAR:
             after, before = nearest[i, 1, block.in_article], nearest[i, -1, block.in_article]
             block.label = _inherited(i, block, first, before, after)
 

@@ -56,6 +56,19 @@ def test_parts_of_class_names_do_not_condemn_the_main_text(start):
     assert main_text(page(f"<div class='sidebar-content'><p>{OTHER}</p></div>{start}<p>{LONG}</p>{end}")) == LONG
 
 
+RUSSIAN = "Это был первый раз, когда дом на холме увидели все жители города, и никто потом уже не забыл того дня. " * 3
+RUSSIAN = RUSSIAN.strip()
+
+
+def test_pages_without_known_stop_words():
+    links = f"<p><a href=/x>{RUSSIAN}</a></p>"
+    assert main_text(page(f"<nav>{OTHER}</nav><div><h2>Дом</h2><p>{RUSSIAN}</p>{links}</div>")) == f"Дом\n{RUSSIAN}"
+    middle = RUSSIAN[:150].strip()
+    assert main_text(page(f"<article><h1>Дом</h1><p>{middle}</p>{links}</article>")) == f"Дом\n{middle}"
+    assert main_text(page(f"<article><p>{RUSSIAN}</p>{links}</article>")) == RUSSIAN
+    assert main_text(page(f"<div>{links}{links}</div>")) == ""
+
+
 def test_very_long_and_deep_pages():
     many = page("<article>" + f"<p>{LONG}</p>" * 3000 + "</article>")
     assert main_text(many).count("\n") == 2999
