@@ -15,7 +15,7 @@ import pandas as pd
 import __spark_entry__ as driver
 from aislefix.session import build_session
 
-TABLES = ("lineitem", "orders", "supplier", "pages", "conversations")
+TABLES = ("lineitem", "orders", "supplier", "pages", "conversations", "documents", "embeddings")
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
