@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aislefix.llm import chat, html_text, language, mixing, order_minhash, packing, repetition, simhash, token_files, warc
+from aislefix.llm import (
+    best_fit, chat, divergence, hard_negatives, html_text, language, mixing, order_minhash, packing, repetition, simhash, token_files, warc,
+)
 from aislefix.sources.tables import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,11 +103,87 @@ OP10_SQL = """
     FROM formed GROUP BY conv_id"""
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(rows.vec_id % 7 == 0, (rows.label + 1) % 10).otherwise(rows.label)
+    rows = rows.select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine_hard_negatives(rows, rows.vec_id % 100 == 0)
+
+
+OP11_SQL = """
+    WITH sound AS (
+        SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+               list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+               CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+        FROM sound a JOIN sound b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+    ), positives AS (
+        SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+    )
+    SELECT p.anchor_id, positive_id,
+           CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+           other_id AS negative_id, positive_score, score AS negative_score
+    FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT same
+         AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10"""
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+    WITH docs AS (
+        SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+    ), found AS (
+        SELECT doc_id, lang, source, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM docs
+    ), kept AS (
+        SELECT lang, term, CAST(count(*) AS HUGEINT) AS lang_n FROM found GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 30
+    ), uses AS (
+        SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM found SEMI JOIN kept USING (lang, term) GROUP BY ALL
+    ), groups AS (
+        SELECT DISTINCT lang, source FROM docs
+    ), langs AS (
+        SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang
+    ), totals AS (
+        SELECT lang, source, coalesce((SELECT sum(n) FROM uses u WHERE u.lang = g.lang AND u.source = g.source), 0) AS total FROM groups g
+    ), shares AS (
+        SELECT lang, t.source, k.term, coalesce(n, 0) AS n,
+               1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (total + 5 * v) AS p,
+               1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * v) AS q
+        FROM totals t JOIN kept k USING (lang) JOIN langs USING (lang) LEFT JOIN uses u USING (lang, source, term)
+    ), pairs AS (
+        SELECT g.lang, g.source, h.source AS item,
+               coalesce((SELECT sum(abs(a.p - b.p)) FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term
+                         WHERE a.lang = g.lang AND a.source = g.source AND b.source = h.source), 0) AS value
+        FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+    ), parts AS (
+        SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value FROM pairs
+        UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM shares WHERE n > 0 AND p > q
+    )
+    SELECT lang, source, part, item, value,
+           CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+    FROM parts QUALIFY part = 'pair' OR rank <= 50"""
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = best_fit.cut_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    # Digests are taken where the ids lie, so that those are not shuffled.
+    return best_fit.place_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_html_text, op2_language, op3_warc, op4_token_files, op5_repetition, op6_packing, op7_order_minhash, op8_mixing, op9_simhash, op10_chat,
+        op11_hard_negatives, op12_divergence, op13_best_fit,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op10_chat": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op10_chat": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_divergence": OP12_SQL}
