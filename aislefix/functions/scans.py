@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from aislefix.functions.ids import id_number
 from aislefix.settings import PAD, SLOTS
@@ -40,6 +40,21 @@ def ranked_hits(scan: Column | str) -> Column:
     return F.sort_array(F.transform(_tokens(scan), hit))
 
 
+def wrong_hits(scan: Column | str) -> Column:
+    """The tokens of a scan that are not hits."""
+    return F.filter(_tokens(scan), lambda token: ~token.rlike(r"^(?:[^|]*_)?-?[0-9]+\|-?[0-9]+\|(?:true|false)$"))
+
+
+def with_hits(rows: DataFrame) -> DataFrame:
+    """Rows with the parsed scan as ``hits`` in place of its text: stored so, each later step reads only the fields it needs."""
+    return rows.withColumn("hits", ranked_hits("wifi_infos")).drop("wifi_infos")
+
+
+def hits_of(rows: DataFrame) -> Column:
+    """The hits of scans, parsed now unless they are stored parsed."""
+    return F.col("hits") if "hits" in rows.columns else ranked_hits("wifi_infos")
+
+
 def slot_columns(ranked: str, slots: int = SLOTS) -> dict[str, Column]:
     """The strongest hits of a ranked scan as flat columns, padded to ``slots``."""
     columns: dict[str, Column] = {}

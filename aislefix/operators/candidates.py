@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from aislefix.functions.ids import id_number
-from aislefix.functions.scans import ranked_hits
+from aislefix.functions.scans import hits_of
 from aislefix.operators.spread import spread_join
 
 
@@ -29,10 +29,16 @@ def _strongest_shops(pairs: DataFrame, width: int) -> DataFrame:
     return ranked.where(F.col("_rank") <= width).select("wifi_bssid", "shop_no").distinct()
 
 
-def ap_index_train(pairs: DataFrame, width: int = 12, min_support: int = 6) -> DataFrame:
-    """Index for the labelled rows: access points with enough hits, strongest pairs only."""
+def ap_index_train(
+    pairs: DataFrame, width: int = 12, min_support: int = 6, counts: DataFrame | None = None
+) -> DataFrame:
+    """Index for the labelled rows: access points with enough hits, strongest pairs only.
+
+    ``counts`` has the hits of each (access point, shop); without it they come from ``pairs``.
+    """
+    counted = pairs if counts is None else counts
     supported = (
-        pairs.groupBy("wifi_bssid").agg(F.sum("n").alias("_support")).where(F.col("_support") >= min_support)
+        counted.groupBy("wifi_bssid").agg(F.sum("n").alias("_support")).where(F.col("_support") >= min_support)
     )
     return _strongest_shops(pairs, width).join(supported.select("wifi_bssid"), "wifi_bssid")
 
@@ -45,17 +51,19 @@ def ap_popular_shops(pairs: DataFrame, width: int = 3) -> DataFrame:
     return ranked.where(F.col("_rank") <= width).select("wifi_bssid", "shop_no", "n")
 
 
-def ap_index_query(pairs: DataFrame, width: int = 15, popular_width: int = 3) -> DataFrame:
+def ap_index_query(
+    pairs: DataFrame, width: int = 15, popular_width: int = 3, counts: DataFrame | None = None
+) -> DataFrame:
     """Index for the query rows: strongest pairs of all access points, and the most frequent shops."""
     strongest = _strongest_shops(pairs, width)
-    popular = ap_popular_shops(pairs, popular_width).select("wifi_bssid", "shop_no")
+    popular = ap_popular_shops(pairs if counts is None else counts, popular_width).select("wifi_bssid", "shop_no")
     return strongest.unionByName(popular).distinct()
 
 
 def _probe(rows: DataFrame, index: DataFrame, *carry: str) -> DataFrame:
     """Rows joined to the index by each distinct access point of their scan; repeats possible."""
     seen = rows.select(
-        "row_id", *carry, F.explode(F.array_distinct(ranked_hits("wifi_infos")["wifi_bssid"])).alias("wifi_bssid")
+        "row_id", *carry, F.explode(F.array_distinct(hits_of(rows)["wifi_bssid"])).alias("wifi_bssid")
     )
     return spread_join(seen, index, "wifi_bssid").drop("wifi_bssid")
 

@@ -101,15 +101,25 @@ def numbered(rows: DataFrame, name: str = "row_id") -> DataFrame:
     """
     part = F.spark_partition_id()
     dealt = rows.repartitionByRange(*rows.columns).withColumn("_part", part)
-    dealt = materialize(dealt, "numbered")
-    sizes = sorted((r["_part"], r["count"]) for r in dealt.groupBy("_part").count().collect())  # one row a range
-    starts, total = {}, 0
-    for number, size in sizes:
-        starts[number] = total
-        total += size
-    if not starts:
-        return rows.withColumn(name, F.lit(0).cast("bigint"))
-    start = F.create_map(*(F.lit(x).cast("bigint") for pair in starts.items() for x in pair))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*rows.columns)) - F.lit(1)
-    found = dealt.withColumn(name, F.element_at(start, F.col("_part").cast("bigint")) + inside)
-    return found.select(name, *rows.columns)
+    return number_ranges(materialize(dealt, "numbered"), "_part", rows.columns, name)
+
+
+def number_ranges(dealt: DataFrame, part: str, columns: Sequence[str], name: str) -> DataFrame:
+    """Number rows from 0 by range, and inside each range by ``columns``.
+
+    A row meets the start of its range by a join on the range's number, so that its cost does not depend on how many
+    ranges there are. ``dealt`` is read twice.
+    """
+    sizes = dealt.groupBy(part).agg(F.count("*").alias("_size"))
+    # One row a range: starts are sums over blocks of ranges and inside a block, so no task gets them all.
+    blocks = sizes.withColumn("_block", F.shiftright(part, 10))
+    totals = blocks.groupBy("_block").agg(F.sum("_size").alias("_total"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inside_block = Window.partitionBy("_block").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("bigint")
+    begins = totals.select("_block", F.coalesce(F.sum("_total").over(before), none).alias("_begin"))
+    starts = blocks.withColumn("_ahead", F.coalesce(F.sum("_size").over(inside_block), none)).join(begins, "_block")
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*columns)) - F.lit(1)
+    ranked = dealt.withColumn("_inside", inside)
+    found = ranked.join(starts.select(part, (F.col("_begin") + F.col("_ahead")).alias("_start")), part)
+    return found.select((F.col("_start") + F.col("_inside")).alias(name), *columns)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from aislefix.functions.calendar import calendar_columns
 from aislefix.functions.geo import equator_arc, great_circle
 from aislefix.functions.ids import id_number
-from aislefix.functions.scans import ranked_hits, scan_size, slot_columns
+from aislefix.functions.scans import hits_of, slot_columns
 from aislefix.operators.spread import spread_join
 from aislefix.settings import SLOTS
 
@@ -74,13 +74,16 @@ def _with_distances(rows: DataFrame) -> DataFrame:
 
 def visits_with_mall(visits: DataFrame, shops: DataFrame) -> DataFrame:
     """Visits with mall and distances; the centre is joined to the shops, so visits are joined once."""
-    centres = mall_profile(visits, shops).drop("mall_price")
+    centres = mall_centres(visits, shops)
     places = shops.select("shop_id", "mall_id").join(centres, "mall_id", "left")
     return _with_distances(spread_join(visits, places, "shop_id", "left"))
 
 
-def query_rows_with_mall(query_rows: DataFrame, visits: DataFrame, shops: DataFrame) -> DataFrame:
-    centres = mall_profile(visits, shops).drop("mall_price")
+def mall_centres(visits: DataFrame, shops: DataFrame) -> DataFrame:
+    return mall_profile(visits, shops).drop("mall_price")
+
+
+def query_rows_with_mall(query_rows: DataFrame, centres: DataFrame) -> DataFrame:
     return _with_distances(spread_join(query_rows, centres, "mall_id", "left"))
 
 
@@ -91,10 +94,10 @@ def with_calendar(rows: DataFrame) -> DataFrame:
 def with_slots(rows: DataFrame) -> DataFrame:
     """Hit count and the ten strongest hits as flat columns."""
     return (
-        rows.withColumn("wifi_infos_number", scan_size("wifi_infos"))
-        .withColumn("_ranked", ranked_hits("wifi_infos"))
+        rows.withColumn("_ranked", hits_of(rows))
+        .withColumn("wifi_infos_number", F.size("_ranked"))
         .withColumns(slot_columns("_ranked"))
-        .drop("_ranked")
+        .drop("_ranked", "hits")
     )
 
 
@@ -102,5 +105,6 @@ def enrich_visits(visits: DataFrame, shops: DataFrame) -> DataFrame:
     return with_slots(with_calendar(visits_with_mall(visits, shops))).drop("time_stamp")
 
 
-def enrich_query_rows(query_rows: DataFrame, visits: DataFrame, shops: DataFrame) -> DataFrame:
-    return with_slots(with_calendar(query_rows_with_mall(query_rows, visits, shops))).drop("time_stamp")
+def enrich_query_rows(query_rows: DataFrame, centres: DataFrame) -> DataFrame:
+    """``centres``: see ``mall_centres``."""
+    return with_slots(with_calendar(query_rows_with_mall(query_rows, centres))).drop("time_stamp")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from aislefix.functions.ids import id_number
-from aislefix.functions.scans import ranked_hits
+from aislefix.functions.scans import hits_of
 from aislefix.operators.spread import spread_join
 
 
@@ -19,7 +19,7 @@ def in_feature_window(visits: DataFrame, cutoff_day: int) -> Column:
 
 def explode_hits(rows: DataFrame, carry: Sequence[Column | str]) -> DataFrame:
     """Scan rows -> (carried columns, k, pos, wifi_bssid, wifi_signal, wifi_flag); k = 1 is the strongest."""
-    ranked = rows.select(*carry, ranked_hits("wifi_infos").alias("_ranked"))
+    ranked = rows.select(*carry, hits_of(rows).alias("_ranked"))
     names = [name for name in ranked.columns if name != "_ranked"]
     return ranked.select(*names, F.posexplode("_ranked").alias("_place", "_hit")).select(
         *names,

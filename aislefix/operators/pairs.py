@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from aislefix.functions.scans import ranked_hits
+from aislefix.functions.scans import hits_of
 from aislefix.operators.profiles import ap_profile
 from aislefix.operators.spread import spread_join
 from aislefix.settings import SLOTS
@@ -52,7 +52,7 @@ def lookup_query(stats: DataFrame, feature_days: int, answer_days: int, slot_win
 
 def _scan_probes(rows: DataFrame, slots: int) -> DataFrame:
     """Per row, its distinct access points, each with the set of slots it fills as a bit mask."""
-    ranked = rows.select("row_id", ranked_hits("wifi_infos")["wifi_bssid"].alias("_seen"))
+    ranked = rows.select("row_id", hits_of(rows)["wifi_bssid"].alias("_seen"))
 
     def probe(bssid: Column) -> Column:
         mask = F.lit(0)

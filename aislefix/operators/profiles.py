@@ -30,6 +30,11 @@ def ap_stats(hits: DataFrame, min_support: int = 1, cutoff_day: int | None = Non
         sums["feature_hits"] = F.count_if(early)
         sums["feature_signal_sum"] = F.sum(F.when(early, F.col("wifi_signal")))
     stats = hits.groupBy("shop_no", "wifi_bssid").agg(*(value.alias(name) for name, value in sums.items()))
+    return with_support(stats, min_support)
+
+
+def with_support(stats: DataFrame, min_support: int) -> DataFrame:
+    """Access points of too few hits lose their counts, but for those of strongest hits."""
     if min_support <= 1:
         return stats
     support = stats.groupBy("wifi_bssid").agg(F.sum("n_hits").alias("_support"))

@@ -269,6 +269,11 @@ QUERIES: dict[str, str] = {
     "csv_roundtrip": _QUERY_ROWS,
     "csv_shops": f"SELECT shop_id, 'c_' || category_no AS category_id, {_PLACE}, {_r('price', 'price')}, mall_id FROM shops",
     "csv_visits": f"SELECT user_id, shop_id, {_TIME}, {_PLACE}, wifi_infos FROM visits",
+    "rejected_query_rows": """
+        SELECT row_id, concat_ws('; ', CASE WHEN row_id % 107 = 0 THEN 'time_stamp: not a timestamp_ntz' END,
+               CASE WHEN row_id % 101 = 0 THEN 'longitude: not a double' END, CASE WHEN row_id % 103 = 0 THEN 'wifi_infos: not a hit' END) AS reasons
+        FROM query_rows WHERE row_id % 101 = 0 OR row_id % 103 = 0 OR row_id % 107 = 0""",
+    "accepted_query_rows": f"SELECT * FROM ({_QUERY_ROWS}) WHERE row_id % 101 <> 0 AND row_id % 103 <> 0 AND row_id % 107 <> 0",
     "csv_prior_train": "SELECT row_id, 's_' || shop_no AS shop_id, label, shop_index FROM prior_known",
     "csv_prior_answer": "SELECT row_id, 's_' || shop_no AS shop_id, shop_index FROM prior_asked",
     "visit_calendar": f"SELECT row_id, {_CALENDAR} FROM records",
@@ -382,6 +387,10 @@ QUERIES: dict[str, str] = {
         FROM query_rows v JOIN distances d ON d.row_id = v.row_id JOIN slot_rows r ON r.row_id = v.row_id""",
 }
 
+# The state by day must give what the visits themselves give.
+for _name in ("profiles_train", "profiles_query", "ap_index_train", "ap_index_query"):
+    QUERIES[f"state_{_name}"] = QUERIES[_name]
+
 
 def _needed(sql: str, found: list[str]) -> None:
     """Views that ``sql`` reads, each after the views it reads itself."""

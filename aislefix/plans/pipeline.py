@@ -8,11 +8,11 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from aislefix.functions.ids import id_number
-from aislefix.operators import candidates, encode, enrich, hits, model, pairs, profiles
+from aislefix.operators import candidates, daily, encode, enrich, hits, model, pairs, profiles
 from aislefix.operators.ranking import best_candidate
 from aislefix.operators.spread import spread_join
 from aislefix.settings import DEFAULTS, SLOTS, Settings
-from aislefix.sources.tables import Tables, materialize
+from aislefix.sources.tables import Tables, materialize, shared_folder
 
 
 class Positioning:
@@ -20,13 +20,17 @@ class Positioning:
 
     With ``stored``, the tables handed from one stage to the next (candidate
     pairs, columns to encode) are written once to the shared folder, as several
-    later steps read each of them; otherwise every step is one lazy plan.
+    later steps read each of them; otherwise every step is one lazy plan. Profiles
+    and index then follow from one state by day, which ``state`` may bring along.
     """
 
-    def __init__(self, tables: Tables, settings: Settings = DEFAULTS, stored: bool = False) -> None:
+    def __init__(
+        self, tables: Tables, settings: Settings = DEFAULTS, stored: bool = False, state: daily.DayState | None = None
+    ) -> None:
         self.tables = tables
         self.settings = settings
         self.stored = stored
+        self._given_state = state
 
     def _hand_off(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name) if self.stored else df
@@ -49,8 +53,21 @@ class Positioning:
     def all_hits(self) -> DataFrame:
         return hits.visit_hits(self.tables.visits)
 
+    @cached_property
+    def state(self) -> daily.DayState | None:
+        """What each day's hits tell; None where nothing is stored."""
+        if self._given_state or not self.stored:
+            return self._given_state
+        width = max(self.settings.train_width, self.settings.answer_width)
+        spark = self.tables.visits.sparkSession
+        return daily.DayState(spark, shared_folder(spark, "days"), width).add(self.tables.visits)
+
     # Enriched rows
 
+    @cached_property
+    def mall_centres(self) -> DataFrame:
+        return enrich.mall_centres(self.tables.visits, self.tables.shops)
+
     @cached_property
     def enriched_visits(self) -> DataFrame:
         return enrich.enrich_visits(self.tables.visits, self.tables.shops)
@@ -64,16 +81,20 @@ class Positioning:
 
     @cached_property
     def enriched_query_rows(self) -> DataFrame:
-        return enrich.enrich_query_rows(self.tables.query_rows, self.tables.visits, self.tables.shops)
+        return enrich.enrich_query_rows(self.tables.query_rows, self.mall_centres)
 
     # Profiles
 
     @cached_property
     def train_stats(self) -> DataFrame:
+        if self.state:
+            return daily.merged_stats(self.state.sums(self.settings.cutoff_day), self.settings.profile_min_support)
         return profiles.ap_stats(self.feature_hits, self.settings.profile_min_support)
 
     @cached_property
     def answer_stats(self) -> DataFrame:
+        if self.state:
+            return daily.merged_stats(self.state.sums(), self.settings.profile_min_support, self.settings.cutoff_day)
         return profiles.ap_stats(self.all_hits, self.settings.profile_min_support, self.settings.cutoff_day)
 
     @cached_property
@@ -88,13 +109,21 @@ class Positioning:
 
     @cached_property
     def train_index(self) -> DataFrame:
-        found = candidates.ap_signal_pairs(self.feature_hits)
-        return candidates.ap_index_train(found, self.settings.train_width, self.settings.index_min_support)
+        s = self.settings
+        if self.state:
+            found = daily.merged_pairs(self.state.best(s.train_width, s.cutoff_day))
+            return candidates.ap_index_train(
+                found, s.train_width, s.index_min_support, daily.merged_counts(self.state.sums(s.cutoff_day))
+            )
+        return candidates.ap_index_train(candidates.ap_signal_pairs(self.feature_hits), s.train_width, s.index_min_support)
 
     @cached_property
     def answer_index(self) -> DataFrame:
-        found = candidates.ap_signal_pairs(self.all_hits)
-        return candidates.ap_index_query(found, self.settings.answer_width, self.settings.popular_width)
+        s = self.settings
+        if self.state:
+            found = daily.merged_pairs(self.state.best(s.answer_width))
+            return candidates.ap_index_query(found, s.answer_width, s.popular_width, daily.merged_counts(self.state.sums()))
+        return candidates.ap_index_query(candidates.ap_signal_pairs(self.all_hits), s.answer_width, s.popular_width)
 
     @cached_property
     def train_pairs(self) -> DataFrame:
@@ -157,32 +186,34 @@ class Positioning:
 
     # Encoding
 
-    @cached_property
-    def _cells(self) -> tuple[DataFrame, DataFrame]:
-        """The columns to encode, of label rows and of query rows that have a candidate."""
+    @staticmethod
+    def _narrow(rows: DataFrame) -> DataFrame:
+        return rows.select("row_id", id_number("mall_id").alias("mall_no"), *(f"wifi{k}_bssid" for k in range(1, SLOTS + 1)))
 
-        def narrow(rows: DataFrame) -> DataFrame:
-            return rows.select("row_id", id_number("mall_id").alias("mall_no"), *(f"wifi{k}_bssid" for k in range(1, SLOTS + 1)))
+    @cached_property
+    def train_cells(self) -> DataFrame:
+        """The columns to encode, of label rows."""
+        return self._hand_off(self._narrow(self.enriched_label_rows), "train-cells")
 
+    @cached_property
+    def answer_cells(self) -> DataFrame:
+        """The columns to encode, of query rows that have a candidate."""
         answerable = self.answer_pairs.select("row_id").distinct()
-        queries = narrow(self.enriched_query_rows).join(answerable, "row_id", "left_semi")
-        train = narrow(self.enriched_label_rows)
-        return self._hand_off(train, "train-cells"), self._hand_off(queries, "answer-cells")
+        return self._hand_off(self._narrow(self.enriched_query_rows).join(answerable, "row_id", "left_semi"), "answer-cells")
 
     @cached_property
     def codes(self) -> DataFrame:
         """One encoder for both sides, as labelled and query rows must get the same codes."""
-        train, query = self._cells
-        found = encode.ordinal_codes(train.unionByName(query), encode.encoded_columns(), self._hand_off)
+        found = encode.ordinal_codes(self.train_cells.unionByName(self.answer_cells), encode.encoded_columns(), self._hand_off)
         return self._hand_off(found, "codes")
 
     @cached_property
     def encoded_label_rows(self) -> DataFrame:
-        return encode.ordinal_encode(self._cells[0], self.codes, encode.encoded_columns())
+        return encode.ordinal_encode(self.train_cells, self.codes, encode.encoded_columns())
 
     @cached_property
     def encoded_query_rows(self) -> DataFrame:
-        return encode.ordinal_encode(self._cells[1], self.codes, encode.encoded_columns())
+        return encode.ordinal_encode(self.answer_cells, self.codes, encode.encoded_columns())
 
     @staticmethod
     def _coded(rows: DataFrame, encoded: DataFrame) -> DataFrame:
@@ -216,6 +247,10 @@ class Positioning:
         """Train the ranker; the labelled pairs are stored first, as training reads them many times."""
         return model.fit_ranker(materialize(self.train_features, "train-features"), boosting)
 
+    def fit_measured(self, boosting: model.BoostingSettings = model.BoostingSettings()) -> tuple[PipelineModel, list[float]]:
+        """Train with the rounds that rows left out are served best by, up to ``boosting.rounds``; also the loss curve."""
+        return model.fit_measured(materialize(self.train_features, "train-features"), boosting)
+
     def scores(self, ranker: PipelineModel) -> DataFrame:
         return model.score_pairs(ranker, self.answer_features)
 

@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from aislefix.functions.calendar import calendar_columns
 from aislefix.functions.ids import id_number, with_prefix
 from aislefix.functions.scans import scan_size
-from aislefix.operators import candidates, encode, enrich, hits, model, profiles
+from aislefix.operators import candidates, daily, encode, enrich, hits, model, profiles
 from aislefix.operators.ranking import best_candidate
+from aislefix.plans.bundle import load_bundle, save_bundle
 from aislefix.plans.pipeline import Positioning
 from aislefix.settings import SLOTS
 from aislefix.sources import schemas
 from aislefix.sources.adapter import load_tables
+from aislefix.sources.rejects import read_keeping_rejects
 from aislefix.sources.tables import (
     materialize, read_prior, read_query_rows, read_shops, read_table, read_visits, shared_folder, with_shop_id, write_answer, write_table,
 )
@@ -102,6 +104,29 @@ def csv_prior_answer(p: Positioning) -> DataFrame:
     return _through_csv(p.tables.prior_answer, "prior", schemas.PRIOR_ANSWER, read)
 
 
+def _damaged_query_rows(p: Positioning):
+    """Query rows as CSV with some cells spoiled, read with the bad lines kept aside."""
+    row = F.col("row_id")
+    spoiled = p.tables.query_rows.select(
+        "row_id", "user_id", "mall_id",
+        F.when(row % 107 == 0, F.lit("yesterday")).otherwise(F.date_format("time_stamp", "yyyy-MM-dd'T'HH:mm:ss")).alias("time_stamp"),
+        F.when(row % 101 == 0, F.lit("x")).otherwise(F.col("longitude").cast("string")).alias("longitude"), "latitude",
+        F.when(row % 103 == 0, F.concat_ws(";", "wifi_infos", F.lit("b_1|-5|maybe"))).otherwise(F.col("wifi_infos")).alias("wifi_infos"),
+    )
+    path = shared_folder(p.tables.shops.sparkSession, "spoiled")
+    write_table(spoiled, path, "csv")
+    return read_keeping_rejects(p.tables.shops.sparkSession, path, schemas.QUERY_ROWS, most=0.05, scan="wifi_infos")
+
+
+def rejected_query_rows(p: Positioning) -> DataFrame:
+    """Lines that cannot be read, by their row number, with the reasons."""
+    return _damaged_query_rows(p).rejects.select("row_id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def accepted_query_rows(p: Positioning) -> DataFrame:
+    return _damaged_query_rows(p).good
+
+
 # Projections and scalar functions
 
 
@@ -114,7 +139,7 @@ def mall_distance(p: Positioning) -> DataFrame:
     visits, queries, shops = p.tables.visits, p.tables.query_rows, p.tables.shops
     names = ["row_id", "mall_id", "distance", "longitude1", "latitude1"]
     placed = enrich.visits_with_mall(visits, shops).select(names)
-    return placed.unionByName(enrich.query_rows_with_mall(queries, visits, shops).select(names))
+    return placed.unionByName(enrich.query_rows_with_mall(queries, p.mall_centres).select(names))
 
 
 def shop_dim(p: Positioning) -> DataFrame:
@@ -247,6 +272,34 @@ def profiles_query(p: Positioning) -> DataFrame:
     return _whole_profile(p.answer_stats, p.settings.answer_days)
 
 
+# Profiles and index from the state by day
+
+
+def _by_days(p: Positioning) -> Positioning:
+    """The method over a state to which days were added in three steps, and one of them a second time."""
+    s = p.settings
+    state = daily.DayState(p.tables.shops.sparkSession, shared_folder(p.tables.shops.sparkSession, "days"))
+    for days in (range(1, 11), range(11, s.cutoff_day + 1), range(s.cutoff_day + 1, s.answer_days + 1), [s.cutoff_day + 1]):
+        state.add(p.tables.visits, days)
+    return Positioning(p.tables, s, state=state)
+
+
+def state_profiles_train(p: Positioning) -> DataFrame:
+    return profiles_train(_by_days(p))
+
+
+def state_profiles_query(p: Positioning) -> DataFrame:
+    return profiles_query(_by_days(p))
+
+
+def state_ap_index_train(p: Positioning) -> DataFrame:
+    return ap_index_train(_by_days(p))
+
+
+def state_ap_index_query(p: Positioning) -> DataFrame:
+    return ap_index_query(_by_days(p))
+
+
 # Index and candidates
 
 
@@ -323,13 +376,15 @@ def answer_rule(p: Positioning) -> DataFrame:
 
 
 def rank_gbt(p: Positioning) -> DataFrame:
-    """The query pairs, whether their scores are probabilities, and equal by the ranker saved and loaded again."""
-    path = shared_folder(p.tables.visits.sparkSession, "ranker")
+    """The query pairs, whether their scores are probabilities, and equal by the bundle saved and loaded again."""
+    spark = p.tables.visits.sparkSession
+    folder = shared_folder(spark, "bundles")
     ranker = p.fit()
-    model.save_model(ranker, path)
-    features = materialize(p.answer_features, "answer-features")
-    first = model.score_pairs(ranker, features)
-    again = model.score_pairs(model.load_model(path), features).withColumnRenamed("score", "loaded")
+    save_bundle(p, ranker, folder)
+    bundle = load_bundle(spark, folder)
+    scorer = bundle.scorer(p.tables.query_rows, p.tables.prior_answer, stored=True)
+    first = p.scores(ranker)
+    again = scorer.scores(bundle.ranker).withColumnRenamed("score", "loaded")
     return with_shop_id(
         first.join(again, ["row_id", "shop_no"]).select(
             "row_id", "shop_no", F.col("score").between(0, 1).alias("is_probability"),
@@ -345,6 +400,26 @@ def feature_importance(p: Positioning) -> DataFrame:
     return found.select("feature", (F.col("importance") >= 0).alias("not_negative"), total.alias("total"))
 
 
+def ranked_answer(p: Positioning) -> DataFrame:
+    """The chosen shop of every query row and its score."""
+    scores = materialize(p.scores(p.fit()), "scores")
+    best = scores.groupBy("row_id").agg(F.max("score").alias("score"))
+    return p.answer_by_scores(scores).join(best, "row_id", "left")
+
+
+def importance_values(p: Positioning) -> DataFrame:
+    return model.feature_importance(p.fit(), p.tables.visits)
+
+
+def loss_curve(p: Positioning) -> DataFrame:
+    """The loss of labelled rows left out, after each round."""
+    settings = model.BoostingSettings()
+    features = materialize(p.train_features, "train-features")
+    unseen = model.held_out(settings)
+    curve = model.loss_curve(model.fit_ranker(features.where(~unseen), settings), features.where(unseen))
+    return features.sparkSession.createDataFrame(list(enumerate(curve, 1)), "round bigint, loss double")
+
+
 def answer_pipeline(p: Positioning) -> DataFrame:
     """The answer file, written as CSV and read back, held against the scores it follows from."""
     spark = p.tables.visits.sparkSession
@@ -375,6 +450,9 @@ STEPS: dict[str, Callable[[Positioning], DataFrame]] = {
         shop_profile_answer, shop_ap_list_answer, profiles_train, profiles_query,
         ap_signal_pairs, ap_popular_shops, ap_index_train, ap_index_query,
         candidate_pairs_train, candidate_pairs_query, candidate_union_train, candidate_union_query, candidate_recall,
+        rejected_query_rows, accepted_query_rows,
+        state_profiles_train, state_profiles_query, state_ap_index_train, state_ap_index_query,
+        ranked_answer, importance_values, loss_curve,
         row_ids, ordinal_encode, pair_features_train, pair_features_query,
         enrich_visits, enrich_query_rows, answer_rule, rank_gbt, feature_importance, answer_pipeline,
     )
@@ -392,6 +470,8 @@ STORED = {
     "candidate_union_train", "candidate_union_query", "scan_overlap", "slot_match_features", "best_candidate",
     "ordinal_encode", "pair_features_train", "pair_features_query", "pair_geo_features", "pair_signal_features",
     "answer_rule", "rank_gbt", "feature_importance", "answer_pipeline",
+    "ranked_answer", "importance_values", "loss_curve",
+    "state_profiles_train", "state_profiles_query", "state_ap_index_train", "state_ap_index_query",
 }
 
 

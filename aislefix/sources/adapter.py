@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aislefix.functions.ids import with_prefix
+from aislefix.functions.scans import with_hits
 from aislefix.operators.spread import spread_join
 from aislefix.sources.tables import Tables, materialize
 
@@ -25,17 +26,17 @@ def load_tables(spark: SparkSession, sf_dir: str, stored: bool = False) -> Table
 
     shops = _shops(table("supplier"))
     rows = _rows(table("orders"), _scans(table("lineitem")), shops)
-    days = []
+    days, scan = [], "wifi_infos"
     if stored:
-        # By side and day: windows of either side then read only their own files.
-        days = ["transaction_day"]
-        rows = rows.withColumn("transaction_day", F.dayofmonth("time_stamp"))
+        # By side and day: windows of either side then read only their own files. Scans are parsed here, once.
+        days, scan = ["transaction_day"], "hits"
+        rows = with_hits(rows).withColumn("transaction_day", F.dayofmonth("time_stamp"))
         rows = materialize(rows, "rows", ("o_orderstatus", "transaction_day"))
     visits = rows.where((F.col("o_orderstatus") != "P") & F.col("shop_id").isNotNull()).select(
-        "row_id", "user_id", "shop_id", "time_stamp", "longitude", "latitude", "wifi_infos", *days
+        "row_id", "user_id", "shop_id", "time_stamp", "longitude", "latitude", scan, *days
     )
     query_rows = rows.where(F.col("o_orderstatus") == "P").select(
-        "row_id", "user_id", "mall_id", "time_stamp", "longitude", "latitude", "wifi_infos"
+        "row_id", "user_id", "mall_id", "time_stamp", "longitude", "latitude", scan
     )
     pending = F.col("o_orderstatus") == "P"
     return Tables(shops, visits, query_rows, _prior(rows.where(~pending)), _prior(rows.where(pending)).drop("label"))

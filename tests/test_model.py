@@ -20,7 +20,6 @@ def pairs(spark):
 
 
 def test_no_round_is_left_out(pairs):
-    assert model.BoostingSettings().rounds == 3000
     ranker = model.fit_ranker(pairs, model.BoostingSettings(rounds=40, depth=3))
     assert model.rounds_used(ranker) == 40
 
@@ -37,3 +36,17 @@ def test_loss_on_rows_not_trained_on(pairs):
         return -sum(math.log(score(s) if y else 1 - score(s)) for s, y in scores) / len(scores)
 
     assert len({s for s, _ in scores}) > 10 and loss(lambda s: s) < loss(lambda s: share)
+
+
+@pytest.mark.parametrize(
+    "curve, patience, rounds",
+    [([5.0], 1, 1), ([5, 4, 3], 1, 3), ([5, 4, 4.5, 3], 1, 2), ([5, 4, 4.5, 3], 2, 4), ([3, 3, 3], 5, 1), ([5, 4, 6, 6, 6, 1], 3, 2)],
+)
+def test_rounds_at_least_loss(curve, patience, rounds):
+    assert model.rounds_at_least_loss(curve, patience) == rounds
+
+
+def test_rounds_come_from_the_measured_curve(pairs):
+    settings = model.BoostingSettings(rounds=12, depth=4, held_out=0.3, patience=12)
+    ranker, curve = model.fit_measured(pairs, settings)
+    assert len(curve) == 12 and model.rounds_used(ranker) == curve.index(min(curve)) + 1

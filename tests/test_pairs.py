@@ -100,3 +100,12 @@ def test_best_candidate_breaks_ties_by_shop_number(spark):
     )
     got = {r.row_id: r.shop_id for r in best_candidate(scored, F.col("score")).collect()}
     assert got == {1: "s_9", 2: "s_4"}
+
+
+def test_numbers_of_many_ranges(spark):
+    """20,000 ranges: starts are joined, not compared one by one."""
+    dealt = spark.range(50_000).selectExpr("CAST(id * 2 DIV 5 AS INT) AS part", "id * 7 AS value")
+    got = encode.number_ranges(dealt, "part", ["value"], "row_id")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "map(" not in plan and "Join" in plan
+    assert got.where("row_id * 7 <> value").count() == 0 and got.select("row_id").distinct().count() == 50_000
