@@ -12,7 +12,7 @@ from aislefix.operators import candidates, daily, encode, enrich, hits, model, p
 from aislefix.operators.ranking import best_candidate
 from aislefix.operators.spread import spread_join
 from aislefix.settings import DEFAULTS, SLOTS, Settings
-from aislefix.sources.tables import Tables, materialize, shared_folder
+from aislefix.sources.tables import Tables, materialize
 
 
 class Positioning:
@@ -20,8 +20,8 @@ class Positioning:
 
     With ``stored``, the tables handed from one stage to the next (candidate
     pairs, columns to encode) are written once to the shared folder, as several
-    later steps read each of them; otherwise every step is one lazy plan. Profiles
-    and index then follow from one state by day, which ``state`` may bring along.
+    later steps read each of them; otherwise every step is one lazy plan. With a
+    ``state`` by day, profiles and index are merged from it and no hit of a visit is read for them.
     """
 
     def __init__(
@@ -30,7 +30,7 @@ class Positioning:
         self.tables = tables
         self.settings = settings
         self.stored = stored
-        self._given_state = state
+        self.state = state
 
     def _hand_off(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name) if self.stored else df
@@ -53,15 +53,6 @@ class Positioning:
     def all_hits(self) -> DataFrame:
         return hits.visit_hits(self.tables.visits)
 
-    @cached_property
-    def state(self) -> daily.DayState | None:
-        """What each day's hits tell; None where nothing is stored."""
-        if self._given_state or not self.stored:
-            return self._given_state
-        width = max(self.settings.train_width, self.settings.answer_width)
-        spark = self.tables.visits.sparkSession
-        return daily.DayState(spark, shared_folder(spark, "days"), width).add(self.tables.visits)
-
     # Enriched rows
 
     @cached_property
