@@ -35,6 +35,10 @@ RAW_TAGS = frozenset("script style noscript template iframe textarea title svg m
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER_TEXT = frozenset("head nav aside footer form menu button select option optgroup dialog fieldset label".split())
+#: Elements that are skipped with all their content, and may hold others of their kind.
+NESTING_RAW = frozenset("template svg math object audio video canvas noscript".split())
+#: Containers, which parts of a class name describe; a paragraph of class market-share is no button to share it.
+NAMED_BY_PARTS = frozenset("center div dl ol section table ul".split())
 #: An element that an opening tag of the key ends, unless one of the second set stands between.
 IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
@@ -100,23 +104,29 @@ _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGN
 
 
 def _never_by_attributes(raw: str, tag: str) -> bool:
-    """Parts of a class name or id condemn an element, unless it is an article or has a content name of its own
-    beside; whole names condemn any element but an article with a content name."""
+    """Whole class names condemn any element but an article with a content name; parts of names condemn containers without one.
+
+    Ids of headings, sections and text are names of their topic and condemn nothing. Of elements inside
+    a line only whole class names count.
+    """
     if not raw.strip(" /"):
         return False
     whole: set[str] = set()
     names: set[str] = set()
+    by_parts, inline = tag in NAMED_BY_PARTS, tag not in BLOCK_TAGS
     for name, value in _ATTRIBUTE.findall(raw):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id"):
+        if name == "class" or (name == "id" and by_parts and tag != "section"):
             whole.update(value.lower().split())
-            names.update(_NAME_PART.findall(value.lower()))
+            names.update(_NAME_PART.findall(value.lower()) if by_parts else value.lower().split())
         elif name == "role" and value.lower().strip() in NEVER_ROLES:
             return True
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
         elif name == "style" and _HIDDEN_STYLE.search(value):
             return True
+    if inline:
+        return bool(whole & NEVER_CLASSES)
     content = bool(whole & CONTENT_CLASSES)
     if tag == "article":
         return not content and bool(whole & (NEVER_CLASSES | UNLESS_CONTENT_CLASSES))
@@ -134,10 +144,12 @@ class _Page:
         self.open: list[tuple[str, bool]] = []
         self.pieces: list[str] = []
         self.link_chars = 0
-        self.links = self.never = self.articles = 0
+        self.links = self.never = self.articles = self.dropping = 0
         self.seen_article = False
 
     def text(self, raw: str) -> None:
+        if self.dropping:
+            return
         if self.links:
             self.link_chars += len("".join(raw.split()))
         self.pieces.append(raw)
@@ -146,7 +158,7 @@ class _Page:
         if self.pieces:
             text = " ".join(html.unescape("".join(self.pieces)).split())
             if text:
-                heading = any(tag in HEADINGS for tag, _ in self.open[-4:])
+                heading = any(tag in HEADINGS for tag, _ in self.open[-8:])
                 self.blocks.append(Block(text, self.link_chars, self.never > 0, heading, self.articles > 0))
             self.pieces, self.link_chars = [], 0
 
@@ -155,12 +167,15 @@ class _Page:
         self.links += tag == "a"
         self.articles += tag in ("article", "main")
         self.never += never
+        # Inside a condemned element that is no block, text is dropped where it stands: its block goes on after it.
+        self.dropping += never and tag not in BLOCK_TAGS
 
     def _pop_to(self, at: int) -> None:
         for tag, never in self.open[at:]:
             self.links -= tag == "a"
             self.articles -= tag in ("article", "main")
             self.never -= never
+            self.dropping -= never and tag not in BLOCK_TAGS
         del self.open[at:]
 
     def _last(self, tags: set[str], barriers: set[str]) -> int | None:
@@ -191,8 +206,8 @@ class _Page:
             # The first article is not part of an advert or notice whose end tag is missing.
             self.seen_article = True
             self.open = [(t, False) for t, _ in self.open]
-            self.never = 0
-        if tag in BLOCK_TAGS or tag in ("a", "span", "label"):
+            self.never = self.dropping = 0
+        if tag not in VOID_TAGS:
             header = tag == "header" and not self.articles
             never = tag in NEVER_TEXT or header or (tag not in ("body", "html", "main") and _never_by_attributes(attributes, tag))
             self._push(tag, never)
@@ -200,9 +215,8 @@ class _Page:
     def end(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
             self.end_block()
-        elif tag not in ("a", "span", "label"):
-            return
-        at = self._last({tag}, set() if tag in BLOCK_TAGS else BLOCK_TAGS)
+        # Elements of a page's own may hold blocks, as blocks do.
+        at = self._last({tag}, set() if tag in BLOCK_TAGS or "-" in tag else BLOCK_TAGS)
         if at is not None:
             self._pop_to(at)
 
@@ -228,8 +242,7 @@ def blocks_of(page: str | None) -> list[Block]:
             found.end(tag)
         elif tag in RAW_TAGS:
             if page[at - 2] != "/":
-                close = _closing(tag).search(page, at)
-                at = close.end() if close else len(page)
+                at = _after_raw(page, tag, at)
         else:
             found.start(tag, page[mark.end() : inside])
     else:
@@ -238,6 +251,25 @@ def blocks_of(page: str | None) -> list[Block]:
     return found.blocks
 
 
+def _after_raw(page: str, tag: str, at: int) -> int:
+    """Where an element whose content is no text ends; one that may hold others of its kind ends with as many end tags."""
+    opening, depth = _reopening(tag), 1
+    while depth:
+        close = _closing(tag).search(page, at)
+        if close is None:
+            return len(page)
+        if tag in NESTING_RAW:
+            depth += len(opening.findall(page, at, close.start()))
+        depth -= 1
+        at = close.end()
+    return at
+
+
+@cache
+def _reopening(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"<{re.escape(tag)}\b(?![^>]*/>)", re.IGNORECASE)
+
+
 @cache
 def _closing(tag: str) -> re.Pattern[str]:
     return re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.IGNORECASE)

@@ -98,3 +98,26 @@ def test_query_on_the_tables(spark, sf_dir):
         inside = re.sub(r"</?b>", "", re.sub(r"<br>", " ", re.sub(r"</?(?:p|h1)>", "\n", inside)))
         lines = (" ".join(html.unescape(x).split()) for x in inside.split("\n"))
         assert r.text == "\n".join(x for x in lines if x) and r.n_chars == len(r.text)
+
+
+PROSE = "The cat sat on the mat and it was the best of all that we have seen in the year that is past. " * 2
+TEXT = PROSE.strip()
+
+
+@pytest.mark.parametrize(
+    "body, lines",
+    [
+        (f"<h2 id=cookies-and-cream>Cookies and cream</h2><p>{PROSE}</p>", ["Cookies and cream", TEXT]),
+        (f"<section id=related-work><p>{PROSE}</p></section>", [TEXT]),
+        (f"<p class=market-share>{PROSE}</p>", [TEXT]),
+        (f"<p>{PROSE}</p><ins class=ad>Buy now</ins><p>{PROSE}</p>", [TEXT, TEXT]),
+        (f"<p>{PROSE}<span class=ad>Buy <b>now</b></span> and so on.</p>", [f"{TEXT} and so on."]),
+        (f"<p>{PROSE}</p><x-comments class=comments><div><p>{PROSE}</p></div></x-comments><p>{PROSE}</p>", [TEXT, TEXT]),
+        (f"<template>a<template>b</template>{PROSE}</template><p>{PROSE}</p>", [TEXT]),
+        (f"<svg><svg/><text>{PROSE}</text></svg><p>{PROSE}</p>", [TEXT]),
+        (f"<div class=comment-list><p>{PROSE}</p></div><p>{PROSE}<em>so</em></p>", [f"{TEXT} so"]),
+        (f"<p>{PROSE}<span class=ad>never closed</p><p>{PROSE}</p>", [TEXT, TEXT]),
+    ],
+)
+def test_names_inline_adverts_and_nested_raw_elements(body, lines):
+    assert main_text(f"<html><body><article>{body}</article></body></html>") == "\n".join(lines)
