@@ -220,7 +220,8 @@ def mix_report(
 def mix_documents(
     df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", settings: MixSettings | None = None
 ) -> DataFrame:
-    """The mix itself, with the columns of ``df``: a row for each document and turn, its text the words taken then.
+    """The mix itself, with the columns of ``df``: a row for each stretch of a document that the mix takes at a
+    turn, so that no text goes on over words that are not taken.
 
     A column ``n_chars`` is set to the new text's length.
     """
@@ -232,22 +233,31 @@ def mix_documents(
     sources = materialize(source_targets(once, settings), "sources")
     spans = _overlaps(placed_documents(once, sources), settings).where("n > 0")
     met = spans.join(chosen_blocks(sources, settings).hint("merge"), ["sk", "block"])
-    # At most a text's own number of blocks in each list.
-    parts = met.groupBy("k", "h", "turn").agg(F.sort_array(F.collect_list(F.struct("begin", "words"))).alias("parts"))
-    parts = parts.select(F.col("k").alias("_mix_k"), F.col("h").alias("_mix_h"), "turn", "parts")
-    marked = df.withColumn("_mix_k", df[key]).withColumn("_mix_h", F.xxhash64(df[text]))
-    first = Window.partitionBy("_mix_k", "_mix_h").orderBy("_mix_k")
-    marked = marked.withColumn("_mix_row", F.row_number().over(first)).where("_mix_row = 1")
-    same = marked["_mix_k"].eqNullSafe(parts["_mix_k"]) & (marked["_mix_h"] == parts["_mix_h"])
-    joined = marked.join(parts, same).select(*[marked[c] for c in df.columns], parts["parts"].alias("_mix_parts"))
-    # The text's pieces are an argument of the outer function, so a text is split once, not once for each part.
-    split = F.split(F.col(text), f"(?<={WORD[:-1]})(?={_WHITE})")
+    # Blocks that follow one another are one stretch. A document has at most twice its number of blocks of them.
+    in_turn = Window.partitionBy("k", "h", "turn").orderBy("block")
+    stretched = met.withColumn("stretch", F.col("block") - F.row_number().over(in_turn))
+    runs = stretched.groupBy("k", "h", "turn", "stretch").agg(F.min("begin").alias("begin"), F.sum("words").alias("words"))
+    runs = runs.groupBy("k", "h").agg(F.collect_list(F.struct("turn", "begin", "words")).alias("runs"))
+    # The columns of df travel as one, under no name of theirs.
+    marked = df.select(df[key].alias("k"), F.xxhash64(df[text]).alias("h"), F.struct(*(df[c] for c in df.columns)).alias("own"))
+    first = Window.partitionBy("k", "h").orderBy("k")
+    marked = marked.withColumn("row", F.row_number().over(first)).where("row = 1")
+    same = marked["k"].eqNullSafe(runs["k"]) & (marked["h"] == runs["h"])
+    joined = marked.join(runs, same).select("own", F.sort_array("runs").alias("runs"))
+    # The text's pieces are an argument of the outer function, so a text is split once, not once for each stretch.
+    split = F.split(F.col("own")[text], f"(?<={WORD[:-1]})(?={_WHITE})")
 
     def cut(pieces: Column) -> Column:
-        return F.flatten(F.transform("_mix_parts", lambda x: F.slice(pieces, (x["begin"] + 1).cast("int"), x["words"].cast("int"))))
+        return F.transform("runs", lambda x: F.array_join(F.slice(pieces, (x["begin"] + 1).cast("int"), x["words"].cast("int")), ""))
 
-    taken = F.get(F.transform(F.array(split), cut), F.lit(0))
-    mixed = joined.withColumn(text, F.regexp_replace(F.array_join(taken, ""), f"^{_WHITE}+", ""))
-    if "n_chars" in df.columns:
-        mixed = mixed.withColumn("n_chars", F.char_length(text).cast(df.schema["n_chars"].dataType))
-    return mixed.select(*df.columns)
+    taken = joined.select("own", F.explode(F.get(F.transform(F.array(split), cut), F.lit(0))).alias("words"))
+    mixed = taken.withColumn("words", F.regexp_replace("words", f"^{_WHITE}+", ""))
+
+    def column(name: str) -> Column:
+        if name == text:
+            return F.col("words").alias(name)
+        if name == "n_chars":
+            return F.char_length("words").cast(df.schema[name].dataType).alias(name)
+        return F.col("own")[name].alias(name)
+
+    return mixed.select(*(column(name) for name in df.columns))

@@ -213,5 +213,6 @@ def keep_one_of_each_group(df: DataFrame, key: str = "doc_id", text: str = "text
 
 def _first_of_text(df: DataFrame, key: str, text: str) -> DataFrame:
     """One of the rows that repeat both key and text."""
-    by_text = Window.partitionBy(key, F.xxhash64(text)).orderBy(F.xxhash64(text))
-    return df.withColumn("_rank", F.row_number().over(by_text)).where("_rank = 1").drop("_rank")
+    by_text = Window.partitionBy("key", "hash").orderBy("hash")
+    held = df.select(df[key].alias("key"), F.xxhash64(df[text]).alias("hash"), F.struct(*(df[c] for c in df.columns)).alias("own"))
+    return held.withColumn("rank", F.row_number().over(by_text)).where("rank = 1").select("own.*")

@@ -155,3 +155,33 @@ def test_plan_is_native(spark, sf_dir):
         assert r.taken <= 2 * r.size
         taken[of[r.doc_id], r.target] += r.taken
     assert all(abs(n - target) <= 0.02 * target + 200 for (_, target), n in taken.items())
+
+
+def test_no_row_goes_on_over_words_that_are_not_taken(spark):
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(1500)), f"s{i % 2}") for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix_documents(df, settings=mixing.MixSettings(block_words=64, shard_slots=64)).collect()
+    texts = {i: text for i, text, _ in rows}
+    assert len(got) > 24 and all(r.text in texts[r.doc_id] for r in got)
+
+
+INTERNAL = ["own", "k", "h", "runs", "words", "row", "uid", "sk", "n", "p", "block", "turn", "_mix_k", "_mix_h", "_mix_row", "_mix_parts", "_rank"]
+
+
+def test_columns_of_any_name_are_carried(spark):
+    from aislefix.llm import simhash
+
+    rows = [(i, f"some words of document number {i % 20} that differ {i % 20} {i % 20 * 7}", f"s{i % 2}", *(f"{name}{i}" for name in INTERNAL)) for i in range(40)]
+    more = ["_key", "_hash", "_text", "_chosen", "_chosen_hash", "fp", "root", "least", "key", "hash", "rank"]
+    schema = "doc_id bigint, text string, source string, " + ", ".join(f"`{name}` string" for name in INTERNAL)
+    df = spark.createDataFrame(rows, schema)
+    mixed = mixing.mix_documents(df, settings=mixing.MixSettings(block_words=4, shard_slots=64))
+    assert mixed.columns == df.columns
+    for r in mixed.collect():
+        assert all(r[name] == f"{name}{r.doc_id}" for name in INTERNAL)
+    schema = "doc_id bigint, text string, " + ", ".join(f"`{name}` string" for name in [*INTERNAL, *more])
+    df = spark.createDataFrame([(i, rows[i][1], *(f"{name}{i}" for name in [*INTERNAL, *more])) for i in range(40)], schema)
+    kept = simhash.keep_one_of_each_group(df)
+    assert kept.columns == df.columns
+    found = kept.collect()
+    assert 1 <= len(found) <= 20 and all(r[name] == f"{name}{r.doc_id}" for r in found for name in [*INTERNAL, *more])
