@@ -159,7 +159,7 @@ class _Page:
             text = " ".join(html.unescape("".join(self.pieces)).split())
             if text:
                 heading = any(tag in HEADINGS for tag, _ in self.open[-8:])
-                self.blocks.append(Block(text, self.link_chars, self.never > 0, heading, self.articles > 0))
+                self.blocks.append(Block(text, self.link_chars, self.never > self.dropping, heading, self.articles > 0))
             self.pieces, self.link_chars = [], 0
 
     def _push(self, tag: str, never: bool) -> None:

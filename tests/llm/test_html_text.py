@@ -116,7 +116,7 @@ TEXT = PROSE.strip()
         (f"<template>a<template>b</template>{PROSE}</template><p>{PROSE}</p>", [TEXT]),
         (f"<svg><svg/><text>{PROSE}</text></svg><p>{PROSE}</p>", [TEXT]),
         (f"<div class=comment-list><p>{PROSE}</p></div><p>{PROSE}<em>so</em></p>", [f"{TEXT} so"]),
-        (f"<p>{PROSE}<span class=ad>never closed</p><p>{PROSE}</p>", [TEXT, TEXT]),
+        (f"<p>{PROSE}<span class=ad>never closed</p><p>{PROSE} on</p>", [TEXT, f"{TEXT} on"]),
     ],
 )
 def test_names_inline_adverts_and_nested_raw_elements(body, lines):
