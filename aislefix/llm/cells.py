@@ -6,8 +6,10 @@ throughout; a word is a longest run of anything else.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,18 @@ def text_slices(column: pa.Array, most_bytes: int = SLICE_BYTES) -> Iterator[Tex
         first = last
 
 
+@cache
+def _trim():
+    """The C library's call that returns freed memory to the system, where there is one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release_memory() -> None:
+    """Give back what a task has freed: its worker stays for a minute or more beside the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def counts_within(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many set places of ``mask`` each text has."""
     return np.diff(np.searchsorted(np.flatnonzero(mask), offsets))

@@ -181,5 +181,7 @@ def keep_known_languages(
             langs, scores = _judged(batch.column(at), profiles)
             keep = [x != UNKNOWN and s >= settings.least_score for x, s in zip(langs, scores, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+            batch = None
+        release_memory()
 
     return df.mapInArrow(run, df.schema)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from aislefix.llm.cells import TextSlice, counts_within, span_codes, text_slices, word_spans
+from aislefix.llm.cells import TextSlice, counts_within, release_memory, span_codes, text_slices, word_spans
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -192,5 +192,7 @@ def keep_by_repetition(df: DataFrame, text: str = "text", rules: RepetitionRules
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(_measured(batch.column(at), rules)["kept"]))
+            batch = None
+        release_memory()
 
     return df.mapInArrow(run, df.schema)

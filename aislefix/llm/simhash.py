@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from aislefix.llm.cells import TextSlice, text_slices, word_spans
+from aislefix.llm.cells import TextSlice, release_memory, text_slices, word_spans
 from aislefix.llm.components import components
 from aislefix.operators.spread import spread_join
 from aislefix.sources.tables import materialize
@@ -91,6 +91,8 @@ def with_fingerprint(
                 found = np.concatenate([fingerprints_of(p) for p in text_slices(batch.column(0), _SLICE_BYTES)])
                 kept = [batch.column(i + 1) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(found)], names=[*names, "fp"])
+            batch = found = kept = None
+        release_memory()
 
     kinds = ", ".join(f"`{name}` {df.schema[name].dataType.simpleString()}" for name in names)
     return df.select(df[text], *(df[name] for name in names)).mapInArrow(run, f"{kinds}, fp bigint")
@@ -161,6 +163,7 @@ def links_between(values: DataFrame, most_bits: int = 2) -> DataFrame:
             yield _link_batch(_links_at(anchors[:cut], found[:cut], most_bits) if cut else [])
         if len(held_a):
             yield _link_batch(_links_at(held_a, held_v, most_bits))
+        release_memory()
 
     met = at_anchors(values).repartition("anchor").sortWithinPartitions("anchor")
     return met.mapInArrow(run, "a bigint, b bigint").distinct()
