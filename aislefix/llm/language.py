@@ -30,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from aislefix.llm.cells import release_memory
+
 UNKNOWN = "und"
 _SPACE = 32
 _BITS = 21
