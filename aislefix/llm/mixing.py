@@ -1,14 +1,17 @@
 """Mixing sources to target weights: blocks of words, multinomial shards, pseudorandom order, join by index.
 
 The words of a source's documents lie on one line, cut into blocks of fixed length.
-The mix is a number of shards of slots, equal but for one slot; each shard draws how many of its
-slots every source fills. A source's slots make up its target at the words its blocks hold on average. Of a source's slots, numbered through all shards, slot q takes
-the block that a pseudorandom permutation of the source puts at place q modulo
+The mix is a number of shards of slots, equal but for one slot. Every slot of a shard falls on a source with the
+source's share as its chance, so a shard's counts are multinomial. Of a source's slots, numbered through all shards,
+slot q takes the block that a pseudorandom permutation of the source puts at place q modulo
 its number of blocks, so every block is taken once before any is taken again. Blocks
 meet the documents that lie in them by (source, index).
 
-The draw is multinomial on what is left of each source's share after its whole
-slots (residual draws), so that totals stay near their targets. The permutation is
+Totals are settled once, after all shards are drawn. A source's quota is its target at the words its blocks hold on
+average. Drawn alone, a source of s slots would miss it by about sqrt(s); so slots
+beyond the quota are given up, and sources that were drawn less often get as many more, in shards by hash. About
+0.4 * sqrt(s) slots of a source change hands, and its taken words then differ from the target by what its
+blocks differ in length. The permutation is
 a four-round Feistel network over a grid just large enough, walked on while it
 leaves the range. All of it is column expressions, and hashes stand for
 random numbers: reruns agree on any cluster.
@@ -19,8 +22,11 @@ a source cannot take is reshared by weight. In closed form every target is
 least(limit, weight * level), with the greatest level over the sources in order of
 limit / weight.
 
-Scale: slots are unfolded from a few rows a source, so Spark's estimate of their size is far too small; the join by
-index is asked to shuffle, or it would broadcast them. Text is read once for its size, and once more where texts are wanted.
+Scale: slots are unfolded from a row a shard, so Spark's estimate of their size is far too small; the join by
+index is asked to shuffle, or it would broadcast them. A slot finds its source by a join on a grid over the shares,
+which has as many cells as there are sources: it meets two sources on average, whatever the shares, and only sources that
+were drawn make a row of a shard. Numbers and running sums of sources are taken in ranges; the water level needs a row for
+each different size of a source, at most about the root of twice the number of words. Text is read once for its size, and once more where texts are wanted.
 Positions are prefix sums in two levels over about sqrt(rows) chunks of each source,
 so a source with a third of all rows is spread over all tasks. Tables per source
 have one row a source.
@@ -38,6 +44,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from aislefix.operators.encode import numbered
 from aislefix.operators.spread import spread_join
 from aislefix.sources.tables import materialize
 
@@ -48,6 +55,12 @@ _WHITE = r"[\x20\x09-\x0D]"
 
 #: Steps of the walk back into range; a step stays outside with a chance under 1 / sqrt(blocks).
 _WALK = 24
+#: Shares are counted in so many parts of a slot.
+_UNITS = 1 << 20
+#: Cells of the grid over the shares; beyond so many sources a slot meets more than two on average.
+_MOST_CELLS = 1 << 22
+#: The grid is sent to all executors if it has no more rows than this; a larger one is shuffled.
+_BROADCAST_ROWS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -71,36 +84,52 @@ def _sized(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
 
 
 def source_targets(sized: DataFrame, settings: MixSettings) -> DataFrame:
-    """One row a source: its size, target, number of blocks, and what its draws need."""
+    """One row a source: its size, target, number of blocks, quota of slots, and its stretch of the shares, from ``low`` on."""
     sums = sized.groupBy("sk", "source").agg(F.sum("n").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (place % len(WEIGHTS) + 1).cast("int")).cast("double")
-    weighed = sums.withColumn("weight", weight).withColumn("limit", (settings.most_repeats * F.col("source_size")).cast("double"))
-    everyone = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    filling = Window.partitionBy(F.lit(1)).orderBy(F.col("limit") / F.col("weight"), "sk")
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    onward = filling.rowsBetween(0, Window.unboundedFollowing)
-    total = settings.share * F.sum("source_size").over(everyone)
-    level = (total - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
-    leveled = weighed.withColumn("total", total).withColumn("level", level)
-    aimed = leveled.withColumn("target", F.least("limit", F.col("weight") * F.max("level").over(everyone)))
-    # A source's slots follow from the words its blocks hold on average; shards are equal but for one slot.
+    ordered = sums.select(F.col("source").isNull().alias("last"), "source", "sk", "source_size")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS) + 1).cast("int")).cast("double")
+    weighed = numbered(ordered, "place").drop("last").withColumn("weight", weight)
+    weighed = weighed.withColumn("limit", (settings.most_repeats * F.col("source_size")).cast("double"))
+    counted = weighed.agg(F.count("*").alias("sources"), F.coalesce(F.sum("source_size"), F.lit(0)).alias("words")).first()
+    level = _water_level(weighed, settings.share * counted.words)
+    # A source's slots follow from the words its blocks hold on average; whole units, so that sums do not depend on order.
     blocks = F.ceil(F.col("source_size") / settings.block_words)
     wanted = F.when(F.col("source_size") > 0, blocks * F.col("target") / F.col("source_size")).otherwise(0.0)
-    asked = aimed.withColumn("blocks", blocks).withColumn("wanted", wanted)
-    shards = F.greatest(F.lit(1), F.ceil(F.sum("wanted").over(everyone) / settings.shard_slots))
-    quota = F.col("wanted") / F.col("shards")
-    parted = asked.withColumn("shards", shards).withColumn("whole", F.floor(quota)).withColumn("rest", quota - F.floor(quota))
-    running = Window.partitionBy(F.lit(1)).orderBy("sk").rowsBetween(Window.unboundedPreceding, -1)
-    return parted.select(
-        "sk", "source", "source_size", "target", "shards", "whole", "rest",
-        F.coalesce(F.sum("rest").over(running), F.lit(0.0)).alias("low"),
-        F.sum("rest").over(everyone).alias("all_rest"),
-        "blocks",
+    aimed = weighed.withColumn("target", F.least("limit", F.col("weight") * level)).withColumn("blocks", blocks)
+    aimed = materialize(aimed.withColumn("units", F.round(wanted * _UNITS).cast("bigint")), "aimed")
+    # Running sums over blocks of sources, then inside a block.
+    part = aimed.withColumn("part", F.shiftright("place", 12))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("bigint")
+    parts = part.groupBy("part").agg(F.sum("units").alias("part_units"))
+    parts = parts.select("part", F.coalesce(F.sum("part_units").over(before), none).alias("part_low"))
+    lined = part.withColumn("inner_low", F.coalesce(F.sum("units").over(inside), none)).join(parts, "part")
+    lined = lined.withColumn("low", F.col("part_low") + F.col("inner_low"))
+    # Rounded at the ends of the stretches, quotas add up to the number of slots.
+    rounded = lambda end: F.floor((end + _UNITS // 2) / F.lit(_UNITS)).cast("bigint")
+    quota = F.least(rounded(F.col("low") + F.col("units")) - rounded(F.col("low")), settings.most_repeats * F.col("blocks"))
+    units = aimed.agg(F.sum("units").alias("units")).first().units or 0
+    slots = (units + _UNITS // 2) // _UNITS
+    return lined.select(
+        "sk", "source", "source_size", "target", "blocks", "low", "units", quota.alias("quota"),
+        F.lit(units).cast("bigint").alias("all_units"), F.lit(slots).cast("bigint").alias("slots"),
+        F.lit(counted.sources).cast("bigint").alias("sources"),
     )
 
 
-def _hashed(*columns: Column, below: Column) -> Column:
+def _water_level(weighed: DataFrame, total: float) -> float:
+    """The level at which least(limit, weight * level) adds up to ``total`` over the sources, as far as limits allow."""
+    steps = weighed.groupBy((F.col("limit") / F.col("weight")).alias("full_at"))
+    steps = steps.agg(F.sum("limit").alias("limits"), F.sum("weight").alias("weights"))
+    filling = Window.orderBy("full_at")
+    before = filling.rowsBetween(Window.unboundedPreceding, -1)
+    onward = filling.rowsBetween(0, Window.unboundedFollowing)
+    left = F.lit(total) - F.coalesce(F.sum("limits").over(before), F.lit(0.0))
+    return steps.select((left / F.sum("weights").over(onward)).alias("level")).agg(F.max("level").alias("level")).first().level or 0.0
+
+
+def _hashed(*columns: Column | str, below: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), below)
 
 
@@ -140,39 +169,58 @@ def permuted(df: DataFrame, index: Column, count: Column, key: Column, seed: int
     return found.drop("_wide", "_high", "_key", "_a", "_b", "_first", "_walked")
 
 
+def shard_count(sources: DataFrame, settings: MixSettings) -> int:
+    size = sources.select("slots").first()
+    return max(1, -(-size.slots // settings.shard_slots)) if size else 1
+
+
+def drawn_counts(sources: DataFrame, settings: MixSettings) -> DataFrame:
+    """``shard, sk, count``: how many of its slots each shard draws for a source; sources not drawn make no row."""
+    spark = sources.sparkSession
+    size = sources.select("slots", "all_units", "sources").first()
+    slots, units, count = size or (0, 0, 0)
+    shards = shard_count(sources, settings)
+    cells = max(1, min(count, _MOST_CELLS))
+    width = max(1, -(-units // cells))
+    # Each cell of the grid lists the sources whose stretch it touches.
+    ends = F.sequence(F.floor(F.col("low") / width), F.floor((F.col("low") + F.col("units") - 1) / width))
+    grid = sources.where("units > 0").select("sk", "low", (F.col("low") + F.col("units")).alias("high"), F.explode(ends).alias("cell"))
+    grid = grid.hint("broadcast" if cells + count <= _BROADCAST_ROWS else "merge")
+    all_shards = spark.range(0, shards if slots else 0, 1, _tasks(sources)).withColumnRenamed("id", "shard")
+    share = lambda shard: F.floor(shard * slots / shards).cast("bigint")
+    own = share(F.col("shard") + 1) - share(F.col("shard"))
+    drawn = all_shards.where(own > 0).select("shard", F.explode(F.sequence(F.lit(1).cast("bigint"), own)).alias("j"))
+    point = _hashed(F.col("shard"), F.col("j"), F.lit(settings.seed), below=F.lit(max(1, units)).cast("bigint"))
+    drawn = drawn.select("shard", point.alias("point")).withColumn("cell", F.floor(F.col("point") / width))
+    met = drawn.join(grid, "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
+    return met.groupBy("shard", "sk").agg(F.count("*").alias("count"))
+
+
 def chosen_blocks(sources: DataFrame, settings: MixSettings) -> DataFrame:
-    """``sk, block, turn`` for each slot of the mix; ``turn`` counts how often the block was taken before."""
+    """``sk, block, turn, shard`` for each slot of the mix; ``turn`` counts how often the block was taken before."""
+    counts = materialize(drawn_counts(sources, settings), "drawn")
+    quotas = sources.where("blocks > 0").select("sk", "blocks", "quota")
     # Shards in groups of about sqrt(shards), so that no task numbers them all.
-    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("shards").cast("double")))).cast("bigint")
-    groups = F.sequence(F.lit(0), F.floor((F.col("shards") - 1) / size).cast("bigint"))
-    grouped = sources.where("blocks > 0").select("*", size.alias("size"), F.explode(groups).alias("g"))
-    # A stated number of tasks: a handful of rows here makes very many slots, so they must not be coalesced.
-    dealt = grouped.repartition(_tasks(sources), "sk", "g")
-    first = F.col("g") * F.col("size")
-    last = F.least(first + F.col("size"), F.col("shards")) - 1
-    shards = dealt.select("*", F.explode(F.sequence(first, last)).alias("shard"))
-    unit = lambda j: _hashed(F.col("shard"), j, F.lit(settings.seed), below=F.lit(1 << 52)) / float(1 << 52)
-    # The residual shares seldom add up to a whole number: a shard draws once more as often as they are over one.
-    draws = F.floor(F.col("all_rest") + unit(F.lit(0))).cast("int")
-    # Draw j of a shard falls on the source whose stretch of the residual shares holds it.
-    point = lambda j: unit(j) * F.col("all_rest")
-    drawn = F.filter(
-        F.when(draws > 0, F.sequence(F.lit(1), draws)).otherwise(F.array().cast("array<int>")),
-        lambda j: (point(j) >= F.col("low")) & (point(j) < F.col("low") + F.col("rest")),
-    )
-    counted = shards.withColumn("count", F.col("whole") + F.size(drawn))
+    shards = shard_count(sources, settings)
+    grouped = counts.withColumn("g", F.floor(F.col("shard") / (math.isqrt(shards - 1) + 1)))
     by_group = Window.partitionBy("sk").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    sums = counted.groupBy("sk", "g").agg(F.sum("count").alias("group_count"))
+    sums = grouped.groupBy("sk", "g").agg(F.sum("count").alias("group_count"))
     sums = sums.select("sk", "g", F.coalesce(F.sum("group_count").over(by_group), F.lit(0)).alias("group_first"))
     in_group = Window.partitionBy("sk", "g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = counted.withColumn("before", F.coalesce(F.sum("count").over(in_group), F.lit(0)))
-    numbered = numbered.join(sums.hint("merge"), ["sk", "g"])
-    from_slot = F.col("group_first") + F.col("before")
-    # No block is taken more than most_repeats times; a draw beyond that is left empty.
-    past = F.least(from_slot + F.col("count"), settings.most_repeats * F.col("blocks"))
-    slots = numbered.where(past > from_slot).select("sk", "blocks", F.explode(F.sequence(from_slot, past - 1)).alias("q"))
+    # A stated number of tasks: a handful of rows here makes very many slots, so they must not be coalesced.
+    dealt = spread_join(grouped, quotas, "sk").repartition(_tasks(sources), "sk", "g")
+    lined = dealt.withColumn("before", F.coalesce(F.sum("count").over(in_group), F.lit(0)))
+    lined = lined.join(sums.hint("merge"), ["sk", "g"]).withColumn("first", F.col("group_first") + F.col("before"))
+    # The totals are settled here: no slot beyond the quota, and what was not drawn of it is added.
+    lined = lined.withColumn("past", F.least(F.col("first") + F.col("count"), F.col("quota"))).where("past > first")
+    kept = lined.select("sk", "blocks", "shard", F.explode(F.sequence("first", F.col("past") - 1)).alias("q"))
+    totals = counts.groupBy("sk").agg(F.sum("count").alias("drawn"))
+    short = quotas.join(totals, "sk", "left").withColumn("first", F.coalesce("drawn", F.lit(0).cast("bigint")))
+    short = short.where("quota > first").select("sk", "blocks", F.explode(F.sequence("first", F.col("quota") - 1)).alias("q"))
+    added = short.select("sk", "blocks", _hashed("sk", "q", F.lit(settings.seed), below=F.lit(shards).cast("bigint")).alias("shard"), "q")
+    slots = kept.unionByName(added)
     placed = permuted(slots, F.pmod("q", "blocks"), F.col("blocks"), F.col("sk"), settings.seed, "block")
-    return placed.select("sk", "block", F.floor(F.col("q") / F.col("blocks")).cast("int").alias("turn"))
+    return placed.select("sk", "block", F.floor(F.col("q") / F.col("blocks")).cast("int").alias("turn"), "shard")
 
 
 def _tasks(df: DataFrame) -> int:

@@ -185,3 +185,45 @@ def test_columns_of_any_name_are_carried(spark):
     assert kept.columns == df.columns
     found = kept.collect()
     assert 1 <= len(found) <= 20 and all(r[name] == f"{name}{r.doc_id}" for r in found for name in [*INTERNAL, *more])
+
+
+def test_counts_of_a_shard_are_multinomial(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(1600)), f"s{i % 3}") for i in range(90)]
+    settings = mixing.MixSettings(block_words=4, shard_slots=64)
+    sized = mixing._sized(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "doc_id", "text", "source")
+    sources = mixing.source_targets(sized, settings)
+    info = {r.sk: r for r in sources.collect()}
+    slots, units = next((r.slots, r.all_units) for r in info.values())
+    counts = defaultdict(Counter)
+    for r in mixing.drawn_counts(sources, settings).collect():
+        counts[r.shard][r.sk] = r["count"]
+    assert sum(r.quota for r in info.values()) == slots == sum(sum(c.values()) for c in counts.values())
+    assert {sum(c.values()) for c in counts.values()} <= {63, 64} and len(counts) == -(-slots // 64)
+    for sk, r in info.items():
+        p = r.units / units
+        own = [c[sk] for c in counts.values()]
+        mean = sum(own) / len(own)
+        spread = sum((x - mean) ** 2 for x in own) / (len(own) - 1)
+        assert mean == pytest.approx(64 * p, rel=0.05) and spread == pytest.approx(64 * p * (1 - p), rel=0.25)
+    settled = Counter(r.sk for r in mixing.chosen_blocks(sources, settings).collect())
+    assert settled == {sk: r.quota for sk, r in info.items()}
+
+
+def test_many_sources(spark):
+    """More sources than the grid that is broadcast may have, one of them with a third of all words."""
+    df = spark.range(40_000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") == 0, F.repeat(F.lit("word "), 100_000)).otherwise(F.lit("a few words here now")).alias("text"),
+        F.format_string("s%05d", "id").alias("source"),
+    )
+    assert 2 * 40_000 > mixing._BROADCAST_ROWS
+    rows = mixing.mix_report(df, settings=mixing.MixSettings(block_words=5, shard_slots=1000)).collect()
+    assert len(rows) == 40_000 and all(r.taken <= 2 * r.size for r in rows)
+    hot = next(r for r in rows if r.doc_id == 0)
+    assert hot.taken == pytest.approx(hot.target, rel=0.01)
+    assert sum(r.taken for r in rows) == pytest.approx(1.5 * sum(r.size for r in rows), rel=0.01)
+    by_target = Counter(), Counter()
+    for r in rows:
+        by_target[0][r.target] += r.taken
+        by_target[1][r.target] += r.target
+    assert all(by_target[0][t] == pytest.approx(n, rel=0.02) for t, n in by_target[1].items())
