@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from aislefix.functions.scans import hits_of
+from aislefix.operators.known import KnownKeys
 from aislefix.operators.profiles import ap_profile
 from aislefix.operators.spread import spread_join
 from aislefix.settings import SLOTS
@@ -63,19 +64,28 @@ def _scan_probes(rows: DataFrame, slots: int) -> DataFrame:
     return ranked.select("row_id", F.transform(F.array_distinct("_seen"), probe).alias("_probes"))
 
 
-def pair_match(pairs: DataFrame, rows: DataFrame, lookup: DataFrame, slots: int = SLOTS) -> DataFrame:
+def scan_probes(pairs: DataFrame, rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """What pairs ask the lookup: a row for each pair and distinct access point of its scan, with the slots it fills."""
+    seen = pairs.select("row_id", "shop_no").join(_scan_probes(rows, slots), "row_id")
+    return seen.select("row_id", "shop_no", F.explode("_probes").alias("_probe")).select("row_id", "shop_no", "_probe.wifi_bssid", "_probe.mask")
+
+
+def pair_match(
+    pairs: DataFrame, rows: DataFrame, lookup: DataFrame, slots: int = SLOTS, known: KnownKeys | None = None
+) -> DataFrame:
     """Every pair with its slots' expected signals and rates, and the overlap of scan and shop.
 
     One inner join on (shop, access point) serves all slots and the overlap: what
-    a shop does not know goes no further. The pairs themselves, with what they
+    a shop does not know goes no further, and with ``known``, a filter of the lookup's keys, most of it is not
+    even shuffled to the join. The pairs themselves, with what they
     carry, meet their matches in one shuffle by row. The overlap is the
     share of the scan's distinct access points known at the shop; it is 0 for an
     empty scan.
     """
     carried = [name for name in pairs.columns if name not in ("row_id", "shop_no")]
     probes = _scan_probes(rows, slots)
-    seen = pairs.select("row_id", "shop_no").join(probes, "row_id").select("row_id", "shop_no", F.explode("_probes").alias("_probe"))
-    matched = spread_join(seen.select("row_id", "shop_no", "_probe.wifi_bssid", "_probe.mask"), lookup, ["shop_no", "wifi_bssid"])
+    asked = scan_probes(pairs, rows, slots)
+    matched = spread_join(known.keep(asked) if known else asked, lookup, ["shop_no", "wifi_bssid"])
     met = pairs.unionByName(matched.select("row_id", "shop_no", "mask", "wifi_signal", "sw_number"), allowMissingColumns=True)
 
     expected: list[Column] = []

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from aislefix.functions.ids import id_number
-from aislefix.operators import candidates, daily, encode, enrich, hits, model, pairs, profiles
+from aislefix.operators import candidates, daily, encode, enrich, hits, known, model, pairs, profiles
 from aislefix.operators.ranking import best_candidate
 from aislefix.operators.spread import spread_join
 from aislefix.settings import DEFAULTS, SLOTS, Settings
@@ -19,18 +19,21 @@ class Positioning:
     """The method over one set of input tables.
 
     With ``stored``, the tables handed from one stage to the next (candidate
-    pairs, columns to encode) are written once to the shared folder, as several
-    later steps read each of them; otherwise every step is one lazy plan. With a
+    pairs, lookups, columns to encode) are written once to the shared folder, as several
+    later steps read each of them; otherwise every step is one lazy plan. The size of a stored lookup is known, so that
+    a small one is broadcast and of a larger one a filter of its keys (``known``). With a
     ``state`` by day, profiles and index are merged from it and no hit of a visit is read for them.
     """
 
     def __init__(
-        self, tables: Tables, settings: Settings = DEFAULTS, stored: bool = False, state: daily.DayState | None = None
-    ) -> None:
+        self, tables: Tables, settings: Settings = DEFAULTS, stored: bool = False, state: daily.DayState | None = None,
+        filters: known.KnownSettings = known.DEFAULTS,
+    ) -> None:
         self.tables = tables
         self.settings = settings
         self.stored = stored
         self.state = state
+        self.filters = filters
 
     def _hand_off(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name) if self.stored else df
@@ -135,20 +138,33 @@ class Positioning:
 
     @cached_property
     def train_lookup(self) -> DataFrame:
-        return pairs.lookup_train(self.train_stats, self.settings.feature_days)
+        return self._hand_off(pairs.lookup_train(self.train_stats, self.settings.feature_days), "train-lookup")
 
     @cached_property
     def answer_lookup(self) -> DataFrame:
         s = self.settings
-        return pairs.lookup_query(self.answer_stats, s.feature_days, s.answer_days, s.answer_slot_window)
+        found = pairs.lookup_query(self.answer_stats, s.feature_days, s.answer_days, s.answer_slot_window)
+        return self._hand_off(found, "answer-lookup")
+
+    def _known(self, lookup: DataFrame) -> known.KnownKeys | None:
+        """A filter of a stored lookup's keys, where their number allows one."""
+        return known.known_keys(lookup, ["shop_no", "wifi_bssid"], self.filters) if self.stored else None
+
+    @cached_property
+    def train_known(self) -> known.KnownKeys | None:
+        return self._known(self.train_lookup)
+
+    @cached_property
+    def answer_known(self) -> known.KnownKeys | None:
+        return self._known(self.answer_lookup)
 
     @cached_property
     def train_match(self) -> DataFrame:
-        return pairs.pair_match(self.train_pairs, self.label_rows, self.train_lookup)
+        return pairs.pair_match(self.train_pairs, self.label_rows, self.train_lookup, known=self.train_known)
 
     @cached_property
     def answer_match(self) -> DataFrame:
-        return pairs.pair_match(self.answer_pairs, self.tables.query_rows, self.answer_lookup)
+        return pairs.pair_match(self.answer_pairs, self.tables.query_rows, self.answer_lookup, known=self.answer_known)
 
     def _with_shops(self, side: str, rows: DataFrame) -> DataFrame:
         """Pairs with the columns of their shop, of their match and of their row, and the differences.
@@ -158,12 +174,12 @@ class Positioning:
         """
         s = self.settings
         train = side == "train"
-        found, scans, lookup = (
-            (self.train_pairs, self.label_rows, self.train_lookup) if train
-            else (self.answer_pairs, self.tables.query_rows, self.answer_lookup)
+        found, scans, lookup, keys = (
+            (self.train_pairs, self.label_rows, self.train_lookup, self.train_known) if train
+            else (self.answer_pairs, self.tables.query_rows, self.answer_lookup, self.answer_known)
         )
         shops = self._shop_side(self.train_stats, s.feature_days) if train else self._shop_side(self.answer_stats, s.answer_days)
-        matched = pairs.pair_match(spread_join(found, shops, "shop_no", "left"), scans, lookup)
+        matched = pairs.pair_match(spread_join(found, shops, "shop_no", "left"), scans, lookup, known=keys)
         joined = matched.join(rows, "row_id")
         return pairs.pair_signal(pairs.pair_geo(joined)).withColumns(pairs.slot_differences())
 
