@@ -27,6 +27,10 @@ class KnownSettings:
     least_keys: int = 1 << 18
     #: Bytes of the bits of a filter that may be broadcast.
     most_bytes: int = 32 << 20
+    #: From this many keys on, access points that few shops know are met without asking pair by pair.
+    direct_from: int = 1 << 12
+    #: Pairs that one task folds with their matches.
+    pairs_per_task: int = 1 << 17
 
 
 DEFAULTS = KnownSettings()

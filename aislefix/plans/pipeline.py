@@ -146,25 +146,55 @@ class Positioning:
         found = pairs.lookup_query(self.answer_stats, s.feature_days, s.answer_days, s.answer_slot_window)
         return self._hand_off(found, "answer-lookup")
 
-    def _known(self, lookup: DataFrame) -> known.KnownKeys | None:
-        """A filter of a stored lookup's keys, where their number allows one."""
-        return known.known_keys(lookup, ["shop_no", "wifi_bssid"], self.filters) if self.stored else None
+    def _wide(self, lookup: DataFrame, name: str) -> pairs.WidePoints | None:
+        """The access points of a stored lookup that more shops know than an index keeps of one; None for a small lookup."""
+        if not self.stored or lookup.count() < self.filters.direct_from:
+            return None
+        found = materialize(pairs.wide_points(lookup, self.settings.answer_width + self.settings.popular_width), name)
+        return pairs.WidePoints(found, not found.isEmpty())
+
+    @cached_property
+    def train_wide(self) -> pairs.WidePoints | None:
+        return self._wide(self.train_lookup, "train-wide")
+
+    @cached_property
+    def answer_wide(self) -> pairs.WidePoints | None:
+        return self._wide(self.answer_lookup, "answer-wide")
+
+    def _known(self, lookup: DataFrame, wide: pairs.WidePoints | None) -> known.KnownKeys | None:
+        """A filter of the keys of a stored lookup that are asked for pair by pair, where their number allows one."""
+        if not self.stored or (wide and not wide.found):
+            return None
+        return known.known_keys(wide.among(lookup) if wide else lookup, ["shop_no", "wifi_bssid"], self.filters)
 
     @cached_property
     def train_known(self) -> known.KnownKeys | None:
-        return self._known(self.train_lookup)
+        return self._known(self.train_lookup, self.train_wide)
 
     @cached_property
     def answer_known(self) -> known.KnownKeys | None:
-        return self._known(self.answer_lookup)
+        return self._known(self.answer_lookup, self.answer_wide)
+
+    def _tasks(self, found: DataFrame) -> int | None:
+        """Parts for stored pairs, so that a task's share, and its memory, do not grow with the tables."""
+        return 1 + found.count() // self.filters.pairs_per_task if self.stored else None
+
+    def _matched(self, side: str, found: DataFrame) -> DataFrame:
+        if side == "train":
+            stored, scans, lookup, keys, wide = self.train_pairs, self.label_rows, self.train_lookup, self.train_known, self.train_wide
+        else:
+            stored, scans, lookup, keys, wide = (
+                self.answer_pairs, self.tables.query_rows, self.answer_lookup, self.answer_known, self.answer_wide
+            )
+        return pairs.pair_match(found, scans, lookup, known=keys, wide=wide, tasks=self._tasks(stored))
 
     @cached_property
     def train_match(self) -> DataFrame:
-        return pairs.pair_match(self.train_pairs, self.label_rows, self.train_lookup, known=self.train_known)
+        return self._matched("train", self.train_pairs)
 
     @cached_property
     def answer_match(self) -> DataFrame:
-        return pairs.pair_match(self.answer_pairs, self.tables.query_rows, self.answer_lookup, known=self.answer_known)
+        return self._matched("answer", self.answer_pairs)
 
     def _with_shops(self, side: str, rows: DataFrame) -> DataFrame:
         """Pairs with the columns of their shop, of their match and of their row, and the differences.
@@ -174,12 +204,9 @@ class Positioning:
         """
         s = self.settings
         train = side == "train"
-        found, scans, lookup, keys = (
-            (self.train_pairs, self.label_rows, self.train_lookup, self.train_known) if train
-            else (self.answer_pairs, self.tables.query_rows, self.answer_lookup, self.answer_known)
-        )
+        found = self.train_pairs if train else self.answer_pairs
         shops = self._shop_side(self.train_stats, s.feature_days) if train else self._shop_side(self.answer_stats, s.answer_days)
-        matched = pairs.pair_match(spread_join(found, shops, "shop_no", "left"), scans, lookup, known=keys)
+        matched = self._matched(side, spread_join(found, shops, "shop_no", "left"))
         joined = matched.join(rows, "row_id")
         return pairs.pair_signal(pairs.pair_geo(joined)).withColumns(pairs.slot_differences())
 

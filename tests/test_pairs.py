@@ -6,7 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from aislefix.operators import encode, pairs
+from aislefix.operators.known import KnownSettings
 from aislefix.operators.ranking import best_candidate
+from aislefix.plans.pipeline import Positioning
+from aislefix.plans.registry import load_tables
 
 LOOKUP = "shop_no bigint, wifi_bssid bigint, wifi_signal double, sw_number double"
 
@@ -109,3 +112,37 @@ def test_numbers_of_many_ranges(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "map(" not in plan and "Join" in plan
     assert got.where("row_id * 7 <> value").count() == 0 and got.select("row_id").distinct().count() == 50_000
+
+
+def test_few_shops_are_met_by_access_point_with_the_same_matches(spark):
+    """Access point 6 is wide and asked pair by pair; 5 and 4 are met by themselves, also at shops that are no candidates."""
+    rows = spark.createDataFrame(
+        [(1, "b_5|-70|true;b_6|-60|false;b_5|-80|false"), (2, None), (3, "b_4|-50|true"), (3, "b_4|-50|true"), (None, "b_5|-1|true")],
+        "row_id bigint, wifi_infos string",
+    )
+    wanted = [(1, 7, "x"), (1, 8, None), (1, 9, "y"), (2, 7, "z"), (3, 7, "w"), (3, None, "n"), (None, 7, "n")]
+    wanted = spark.createDataFrame(wanted, "row_id bigint, shop_no bigint, carried string")
+    lookup = [(s, 6, -60.0 - s, 2.0) for s in range(7, 12)] + [(7, 5, -71.5, 0.5), (99, 5, -1.0, 1.0), (7, 4, None, None), (None, 4, 1.0, 1.0)]
+    lookup = spark.createDataFrame(lookup, LOOKUP)
+    tidy = lambda df: sorted(map(str, df.collect()))
+    want = tidy(pairs.pair_match(wanted, rows, lookup))
+    assert len(want) == 8
+    for most in (0, 2, 100):
+        found = pairs.wide_points(lookup, most)
+        wide = pairs.WidePoints(found, not found.isEmpty())
+        got = pairs.pair_match(wanted, rows, lookup, wide=wide, tasks=3)
+        assert tidy(got) == want and got.columns == pairs.pair_match(wanted, rows, lookup).columns
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "[shop_no" not in "".join(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_a_task_folds_a_bounded_number_of_pairs(spark, sf_dir):
+    tables = load_tables(spark, sf_dir, True)
+    plain = Positioning(tables, stored=True)
+    sized = Positioning(tables, stored=True, filters=KnownSettings(direct_from=1, pairs_per_task=50))
+    assert sized.answer_wide and not plain.answer_wide
+    parts = 1 + sized.answer_pairs.count() // 50
+    plan = sized.answer_match._jdf.queryExecution().sparkPlan().toString()
+    assert f", {parts}), REPARTITION_BY_NUM" in plan
+    tidy = lambda df: sorted(map(str, df.collect()))
+    assert tidy(sized.answer_match) == tidy(plain.answer_match)
