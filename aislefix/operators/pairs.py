@@ -125,7 +125,7 @@ def pair_match(
     told = ["row_id", "shop_no", "mask", "wifi_signal", "sw_number"]
     met = pairs.withColumn("_pair", F.lit(1))
     if wide:
-        met = met.unionByName(_point_matches(rows, wide.beside(lookup), slots).select(told), allowMissingColumns=True)
+        met = met.unionByName(_point_matches(rows, wide.beside(lookup), slots).select(*told, F.lit(1).alias("_direct")), allowMissingColumns=True)
     if not wide or wide.found:
         asked, answers = scan_probes(pairs, rows, slots), lookup
         if wide:
@@ -139,9 +139,13 @@ def pair_match(
         in_slot = F.col("mask").bitwiseAND(1 << (k - 1)) != 0
         expected.append(F.max(F.when(in_slot, F.col("wifi_signal"))).alias(f"sw_wifi{k}_signal"))
         expected.append(F.max(F.when(in_slot, F.col("sw_number"))).alias(f"sw_number{k}"))
+    known_points = F.count("mask")
+    if wide:
+        # A pair given twice asks twice; what was met by access point alone counts for each.
+        known_points = known_points + F.count("_direct") * (F.count("_pair") - 1)
     placed = met.repartition(tasks, "row_id") if tasks else met.repartition("row_id")
     folded = placed.groupBy("row_id", "shop_no").agg(
-        *(F.max(name).alias(name) for name in carried), *expected, F.count("mask").alias("_known"), F.count("_pair").alias("_pairs")
+        *(F.max(name).alias(name) for name in carried), *expected, known_points.alias("_known"), F.count("_pair").alias("_pairs")
     )
     folded = folded.where("_pairs > 0").drop("_pairs")
     sizes = probes.select("row_id", F.size("_probes").alias("_seen"))

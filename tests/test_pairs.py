@@ -120,7 +120,7 @@ def test_few_shops_are_met_by_access_point_with_the_same_matches(spark):
         [(1, "b_5|-70|true;b_6|-60|false;b_5|-80|false"), (2, None), (3, "b_4|-50|true"), (3, "b_4|-50|true"), (None, "b_5|-1|true")],
         "row_id bigint, wifi_infos string",
     )
-    wanted = [(1, 7, "x"), (1, 8, None), (1, 9, "y"), (2, 7, "z"), (3, 7, "w"), (3, None, "n"), (None, 7, "n")]
+    wanted = [(1, 7, "x"), (1, 7, "a"), (1, 8, None), (1, 9, "y"), (2, 7, "z"), (3, 7, "w"), (3, None, "n"), (None, 7, "n")]
     wanted = spark.createDataFrame(wanted, "row_id bigint, shop_no bigint, carried string")
     lookup = [(s, 6, -60.0 - s, 2.0) for s in range(7, 12)] + [(7, 5, -71.5, 0.5), (99, 5, -1.0, 1.0), (7, 4, None, None), (None, 4, 1.0, 1.0)]
     lookup = spark.createDataFrame(lookup, LOOKUP)
