@@ -71,17 +71,17 @@ def _scans(lineitem: DataFrame) -> DataFrame:
     raw = ["l_orderkey", *place, "l_quantity", "l_linestatus"]
     lines = lineitem.select(raw).repartition("l_orderkey").select(
         F.col("l_orderkey").alias("row_id"),
-        F.struct(*place, token.alias("token")).alias("in_order"),
-        F.struct((-signal).alias("weakness"), *place).alias("by_strength"),
+        F.struct(*place, token.alias("token"), (-signal).alias("weakness")).alias("line"),
     )
-    collected = lines.groupBy("row_id").agg(
-        F.sort_array(F.collect_list("in_order")).alias("in_order"),
-        F.sort_array(F.collect_list("by_strength")).alias("by_strength"),
+    collected = lines.groupBy("row_id").agg(F.sort_array(F.collect_list("line")).alias("in_order"))
+    # Lines are in order already, so their number stands for their place.
+    by_strength = F.sort_array(
+        F.transform("in_order", lambda x, i: F.struct(x["weakness"].alias("weakness"), i.alias("i"), x["l_suppkey"].alias("l_suppkey")))
     )
     return collected.select(
         "row_id",
         F.array_join(F.col("in_order")["token"], ";").alias("wifi_infos"),
-        F.slice("by_strength", 1, 3)["l_suppkey"].alias("top_suppkeys"),
+        F.slice(by_strength, 1, 3)["l_suppkey"].alias("top_suppkeys"),
     )
 
 
