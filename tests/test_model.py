@@ -4,8 +4,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from aislefix.operators import model
+from aislefix.settings import PAD
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +52,31 @@ def test_rounds_come_from_the_measured_curve(pairs):
     settings = model.BoostingSettings(rounds=12, depth=4, held_out=0.3, patience=12)
     ranker, curve = model.fit_measured(pairs, settings)
     assert len(curve) == 12 and model.rounds_used(ranker) == curve.index(min(curve)) + 1
+
+
+def test_training_rows_are_dealt_evenly_whatever_the_files(spark, pairs):
+    """600 rows in one part are trained in as many as the settings and the cores allow, and none is lost or changed."""
+    dealt = model.training_rows(pairs, model.BoostingSettings(rows_worth_a_part=100))
+    sizes = dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == min(6, spark.sparkContext.defaultParallelism) and max(sizes) < 1.5 * 600 / len(sizes)
+    want = sorted((float(r.label), *(r[name] for name in model.FEATURES)) for r in pairs.collect())
+    assert sorted((r.label, *r.features) for r in dealt.collect()) == want
+
+
+@pytest.mark.parametrize("rows, cores, parts", [(0, 8, 1), (4_095, 8, 1), (9_000, 8, 2), (86_169, 8, 8), (5_000_000, 12, 12), (31_000_000, 12, 60)])
+def test_parts_are_as_many_for_each_core(rows, cores, parts):
+    assert model.parts_for(rows, cores, model.BoostingSettings()) == parts
+
+
+def test_vectors_have_no_nulls_and_refuse_nan(spark, pairs):
+    some = pairs.limit(2).withColumn("price", F.when(F.col("row_id") == 0, F.col("price")))
+    kept = {r.row_id: r.features[model.FEATURES.index("price")] for r in model._vectors(some).collect()}
+    assert kept[1] == PAD and kept[0] != PAD and len(kept) == 2
+    with pytest.raises(Exception, match="NaN"):
+        model._vectors(pairs.limit(1).withColumn("price", F.lit(float("nan")))).collect()
+
+
+def test_no_null_is_filled_column_by_column(pairs):
+    """77 filled columns in one generated method are longer than the JVM compiles."""
+    plan = model._vectors(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("coalesce(") == 1
