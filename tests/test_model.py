@@ -73,3 +73,9 @@ def test_no_null_is_filled_column_by_column(pairs):
     """77 filled columns in one generated method are longer than the JVM compiles."""
     plan = model._vectors(pairs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("coalesce(") == 1
+
+
+def test_a_value_is_checked_and_filled_in_two_steps(pairs):
+    """A CASE for each value, beside the filling, was a tenth of the cost of a vector."""
+    plan = model._vectors(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("nanvl(") == 1 and "CASE" not in plan
