@@ -1,5 +1,6 @@
 """Training of the ranker on made pairs whose labels are noisy, so that the loss of unseen rows is not smooth."""
 
+import inspect
 import math
 import random
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aislefix.operators import model
+from aislefix.plans.pipeline import Positioning
 from aislefix.settings import PAD
 
 
@@ -26,6 +28,11 @@ def test_no_round_is_left_out(pairs):
     assert model.rounds_used(ranker) == 40
 
 
+def test_the_method_trains_the_rounds_it_states_unless_others_are_asked_for():
+    asked = inspect.signature(Positioning.fit).parameters["boosting"].default
+    assert asked == model.BoostingSettings() and model.learner(asked).getMaxIter() == 3000
+
+
 def test_loss_on_rows_not_trained_on(pairs):
     settings = model.BoostingSettings(rounds=15, held_out=0.3)
     ranker = model.fit_ranker(pairs.where(~model.held_out(settings)), settings)
