@@ -31,6 +31,8 @@ class KnownSettings:
     direct_from: int = 1 << 12
     #: Pairs that one task folds with their matches.
     pairs_per_task: int = 1 << 17
+    #: Shops whose columns, some 200 bytes each, are broadcast to the pairs; of more, they go with the pairs through their shuffles.
+    most_shops: int = 1 << 19
 
 
 DEFAULTS = KnownSettings()

@@ -18,12 +18,13 @@ def spread_join(left: DataFrame, right: DataFrame, on: str | Sequence[str], how:
     would get every row of a hot key. The extra hash column makes the present
     partitioning unfit, so both sides are shuffled for the join: hot partitions
     are split, and a small ``right`` is still broadcast after its size is known.
+    Six bits of hash are enough for that; all 64 would be eight bytes a shuffled row that do not compress.
     """
     keys = [on] if isinstance(on, str) else list(on)
     for key in keys:
         types = left.schema[key].dataType, right.schema[key].dataType
         if types[0] != types[1]:
             raise TypeError(f"join key {key} differs in type: {types[0]} and {types[1]}")
-    bucket = F.xxhash64(*keys)
+    bucket = F.shiftrightunsigned(F.xxhash64(*keys), 58)
     joined = left.withColumn(_BUCKET, bucket).join(right.withColumn(_BUCKET, bucket), [*keys, _BUCKET], how)
     return joined.drop(_BUCKET)

@@ -60,7 +60,7 @@ class Positioning:
 
     @cached_property
     def mall_centres(self) -> DataFrame:
-        return enrich.mall_centres(self.tables.visits, self.tables.shops)
+        return self._hand_off(enrich.mall_centres(self.tables.visits, self.tables.shops), "mall-centres")
 
     @cached_property
     def enriched_visits(self) -> DataFrame:
@@ -136,6 +136,14 @@ class Positioning:
         numbered = shops.withColumn("shop_no", id_number("shop_id")).drop("shop_id")
         return numbered.join(profiles.shop_profile(stats, days), "shop_no", "left")
 
+    @cached_property
+    def train_shops(self) -> DataFrame:
+        return self._hand_off(self._shop_side(self.train_stats, self.settings.feature_days), "train-shops")
+
+    @cached_property
+    def answer_shops(self) -> DataFrame:
+        return self._hand_off(self._shop_side(self.answer_stats, self.settings.answer_days), "answer-shops")
+
     @cached_property
     def train_lookup(self) -> DataFrame:
         return self._hand_off(pairs.lookup_train(self.train_stats, self.settings.feature_days), "train-lookup")
@@ -176,8 +184,14 @@ class Positioning:
         return self._known(self.answer_lookup, self.answer_wide)
 
     def _tasks(self, found: DataFrame) -> int | None:
-        """Parts for stored pairs, so that a task's share, and its memory, do not grow with the tables."""
-        return 1 + found.count() // self.filters.pairs_per_task if self.stored else None
+        """Parts for stored pairs, so that a task's share, and its memory, do not grow with the tables.
+
+        None where the session's own number is enough: with fewer parts than that, the join by row would shuffle the folded pairs again.
+        """
+        if not self.stored:
+            return None
+        parts = 1 + found.count() // self.filters.pairs_per_task
+        return parts if parts > int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
     def _matched(self, side: str, found: DataFrame) -> DataFrame:
         if side == "train":
@@ -196,17 +210,30 @@ class Positioning:
     def answer_match(self) -> DataFrame:
         return self._matched("answer", self.answer_pairs)
 
+    @staticmethod
+    def _beside_shops(matched: DataFrame, shops: DataFrame) -> DataFrame:
+        """Matched pairs with the columns of their shop, by a broadcast.
+
+        A shop given twice counts the matches of its pairs twice, as it does where its columns go through the match.
+        """
+        columns = [F.max(name).alias(name) for name in shops.columns if name != "shop_no"]
+        once = shops.groupBy("shop_no").agg(*columns, F.count("*").alias("_copies"))
+        counted = F.col("wifi_in_swifi") * F.coalesce("_copies", F.lit(1))
+        return matched.join(F.broadcast(once), "shop_no", "left").withColumn("wifi_in_swifi", counted).drop("_copies")
+
     def _with_shops(self, side: str, rows: DataFrame) -> DataFrame:
         """Pairs with the columns of their shop, of their match and of their row, and the differences.
 
-        Shop columns join the bare pairs; what leaves the match is already placed by row, so the widest
+        Where shops are few enough to be broadcast, the bare pairs are matched, and their shops meet them where the match left them.
+        Else shop columns join the bare pairs before it; what leaves the match is already placed by row, so the widest
         table of the method is not shuffled again.
         """
-        s = self.settings
         train = side == "train"
-        found = self.train_pairs if train else self.answer_pairs
-        shops = self._shop_side(self.train_stats, s.feature_days) if train else self._shop_side(self.answer_stats, s.answer_days)
-        matched = self._matched(side, spread_join(found, shops, "shop_no", "left"))
+        found, shops = (self.train_pairs, self.train_shops) if train else (self.answer_pairs, self.answer_shops)
+        if self.stored and shops.count() <= self.filters.most_shops:
+            matched = self._beside_shops(self._matched(side, found), shops)
+        else:
+            matched = self._matched(side, spread_join(found, shops, "shop_no", "left"))
         joined = matched.join(rows, "row_id")
         return pairs.pair_signal(pairs.pair_geo(joined)).withColumns(pairs.slot_differences())
 
@@ -249,10 +276,10 @@ class Positioning:
     def encoded_query_rows(self) -> DataFrame:
         return encode.ordinal_encode(self.answer_cells, self.codes, encode.encoded_columns())
 
-    @staticmethod
-    def _coded(rows: DataFrame, encoded: DataFrame) -> DataFrame:
+    def _coded(self, rows: DataFrame, encoded: DataFrame, name: str) -> DataFrame:
         """Rows with their codes; joined here, as there are far fewer rows than pairs."""
-        return rows.join(encoded.select("row_id", *(f"{name}_code" for name in encode.encoded_columns())), "row_id")
+        codes = encoded.select("row_id", *(f"{name}_code" for name in encode.encoded_columns()))
+        return rows.join(self._hand_off(codes, name), "row_id")
 
     @staticmethod
     def _features(columns: DataFrame) -> DataFrame:
@@ -266,13 +293,13 @@ class Positioning:
     @cached_property
     def train_features(self) -> DataFrame:
         """(row_id, label, 77 features) of the labelled pairs."""
-        rows = self._coded(self.enriched_label_rows.drop("shop_id"), self.encoded_label_rows)
+        rows = self._coded(self.enriched_label_rows.drop("shop_id"), self.encoded_label_rows, "train-coded")
         return self._features(self._with_shops("train", rows))
 
     @cached_property
     def answer_features(self) -> DataFrame:
         """(row_id, 77 features) of the pairs to be ranked."""
-        rows = self._coded(self.enriched_query_rows, self.encoded_query_rows)
+        rows = self._coded(self.enriched_query_rows, self.encoded_query_rows, "answer-coded")
         return self._features(self._with_shops("answer", rows))
 
     # Answers

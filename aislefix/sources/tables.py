@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from aislefix.sources import schemas
 
 
 _made: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Where a session on one machine keeps stage tables if it names no folder; None: such a session must name one.
 local_folder: str | None = None
 
@@ -98,6 +101,17 @@ def remove_run_folders(spark: SparkSession) -> int:
     return removed
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside leaves no shuffle files: they would stay on disk until the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once and read it back, so that later passes neither recompute nor depend on its lineage.
 
@@ -105,8 +119,9 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     rebalanced first, so that a folder gets few files and a large one several tasks.
     """
     path = shared_folder(df.sparkSession, name)
-    if partition_by:
-        df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
-    else:
-        write_table(df, path)
+    with _shuffles_removed(df.sparkSession):
+        if partition_by:
+            df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
+        else:
+            write_table(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,9 @@
 """Slot features, overlap, encoder and ranking on hand-made rows."""
 
+import itertools
 import random
+import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +12,8 @@ from aislefix.operators import encode, pairs
 from aislefix.operators.known import KnownSettings
 from aislefix.operators.ranking import best_candidate
 from aislefix.plans.pipeline import Positioning
-from aislefix.plans.registry import load_tables
+from aislefix.plans.registry import load_tables, published
+from aislefix.sources.tables import materialize
 
 LOOKUP = "shop_no bigint, wifi_bssid bigint, wifi_signal double, sw_number double"
 
@@ -146,3 +150,39 @@ def test_a_task_folds_a_bounded_number_of_pairs(spark, sf_dir):
     assert f", {parts}), REPARTITION_BY_NUM" in plan
     tidy = lambda df: sorted(map(str, df.collect()))
     assert tidy(sized.answer_match) == tidy(plain.answer_match)
+
+
+def _wide_shuffles(df) -> list[str]:
+    """Shuffles by row whose input holds a column of the shop."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [re.search(r"[A-Z]", line).start() for line in lines]
+    found = []
+    for i, line in enumerate(lines):
+        if "RepartitionByExpression [row_id" in line:
+            below = itertools.takewhile(lambda j: depth[j] > depth[i], range(i + 1, len(lines)))
+            found += [line] if any("slongitude" in lines[j] for j in below) else []
+    return found
+
+
+def _read_all(method):
+    found = {name: getattr(method, name) for name in ("train_pair_columns", "answer_pair_columns")}
+    return {name: sorted(map(str, published(df.select(sorted(df.columns))).collect())) for name, df in found.items()}
+
+
+def test_shops_meet_pairs_after_the_match_with_the_same_columns(spark, sf_dir):
+    """Few shops are not shuffled with the pairs; a shop given twice counts the matches of its pairs twice either way."""
+    tables = load_tables(spark, sf_dir, True)
+    tables = replace(tables, shops=materialize(tables.shops.unionByName(tables.shops.where("shop_id IN ('s_1', 's_2')")), "shops"))
+    few = Positioning(tables, stored=True)
+    many = Positioning(tables, stored=True, filters=KnownSettings(most_shops=0))
+    assert not _wide_shuffles(few.answer_features) and _wide_shuffles(many.answer_features)
+    assert _read_all(few) == _read_all(many)
+    assert few.answer_pair_columns.agg(F.max("wifi_in_swifi")).head()[0] > 1
+
+
+def test_folded_pairs_are_not_shuffled_again(spark, sf_dir):
+    """Parts fewer than the session's would be dealt out once more for the join by row, all pairs with their matches."""
+    method = Positioning(load_tables(spark, sf_dir, True), stored=True)
+    assert method._tasks(method.answer_pairs) is None
+    plan = method.answer_match._jdf.queryExecution().sparkPlan().toString()
+    assert "REPARTITION_BY_NUM" not in plan and "REPARTITION_BY_COL" in plan

@@ -47,3 +47,10 @@ def test_keys_of_different_type_are_refused(spark):
     left, right = spark.range(1), spark.createDataFrame([(0,)], "id int")
     with pytest.raises(TypeError):
         spread_join(left, right, "id")
+
+
+def test_the_extra_key_takes_a_byte(spark):
+    left = spark.range(5000).select(F.col("id").alias("k"))
+    joined = spread_join(left, left.withColumn("v", F.lit(1)), "k")
+    keys = joined._jdf.queryExecution().analyzed().toString()
+    assert "shiftrightunsigned(xxhash64" in keys and joined.count() == 5000
